@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import encoding, packing, percentiles, sampling, splitting
+from tessella.llm import encoding, names, overlap, packing, percentiles, sampling, splitting
 from tessella.session import table
 
 
@@ -25,6 +25,16 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.growing_sample(table(spark, d, "gold_items"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of ids: a dev or test question that stands in train too, exactly or almost."""
+    return overlap.found(table(spark, d, "gold_items"))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps per evaluation split and source."""
+    return overlap.report(table(spark, d, "gold_items"))
+
+
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Latency percentiles per route, from the daily sketches combined."""
     daily = percentiles.daily_sketches(table(spark, d, "eval_results"))
@@ -54,6 +64,11 @@ def p4_within_bound(spark: SparkSession, d: str) -> DataFrame:
     return ranks.select("route", "quantile", "n", ok.alias("within"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of spellings of one person or organisation."""
+    return names.found(table(spark, d, "triples"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
     return encoding.encode_documents(table(spark, d, "documents"))
@@ -66,7 +81,7 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_pieces, p1_coverage, p2_sample, p4_percentiles, p4_daily, p4_within_bound, p6_ids, p7_containers)
+    for f in (p1_pieces, p1_coverage, p2_sample, p3_found, p3_report, p4_percentiles, p4_daily, p4_within_bound, p5_found, p6_ids, p7_containers)
 }
 
 SQL: dict[str, str] = {}
