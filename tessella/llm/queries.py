@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import encoding, names, overlap, packing, percentiles, sampling, splitting
+from tessella.llm import encoding, names, overlap, packing, percentiles, sampling, splitting, subjects
 from tessella.session import table
 
 
@@ -79,9 +79,23 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(table(spark, d, "documents"))
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The subject areas of every document."""
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by area, language and source."""
+    return subjects.composition(_subjects(spark, d), table(spark, d, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_pieces, p1_coverage, p2_sample, p3_found, p3_report, p4_percentiles, p4_daily, p4_within_bound, p5_found, p6_ids, p7_containers)
+    for f in (p1_pieces, p1_coverage, p2_sample, p3_found, p3_report, p4_percentiles, p4_daily, p4_within_bound, p5_found, p6_ids, p7_containers, p8_found, p8_composition)
 }
 
 SQL: dict[str, str] = {}
