@@ -1,6 +1,23 @@
-"""All core queries and their SQL, collected from the modules of this package."""
+"""The registry of core queries: a function of (spark, sf_dir), and its SQL where there is one."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its function's name."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+from tessella.plans import evaluation, graphs, routing, samples, texts, vectors  # noqa: E402, F401
