@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.overlap import near
+from tessella.operators.graph import components
 from tessella.session import cut
 
 EDITS = 2
@@ -304,31 +305,6 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(full=full)[keep]
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, root): connected components of (a, b); the root is the smallest node.
-
-    Labels move along edges and their labels' labels; a component of diameter d is done after
-    about log2(d) rounds. Each round is checkpointed.
-    """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut(both)
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
-    for _ in range(rounds):
-        around = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        jump = labels.select(F.col("node").alias("over"), F.col("root").alias("further"))
-        moved = (
-            labels.join(around, labels["node"] == around["a"])
-            .join(jump, F.col("root") == F.col("over"), "left")
-            .select("node", F.least("root", "near", "further").alias("new"), F.col("root").alias("old"))
-        )
-        moved = cut(moved)
-        changed = moved.filter("new <> old").limit(1).count()
-        labels = moved.select("node", F.col("new").alias("root"))
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
 def _acronyms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
