@@ -60,6 +60,11 @@ def nearest_rank(values: Column, share: float) -> Column:
     return F.percentile_approx(values, F.lit(share), F.lit(1_000_000))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's r of two columns; null where one of them doesn't vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def confusion(results: DataFrame) -> DataFrame:
     """(gold_type, predicted_type, n): all pairs of labels that stand in the results, 0 included."""
     seen = results.filter("predicted_type is not null and gold_type is not null")
@@ -101,5 +106,5 @@ def review_flags(results: DataFrame, floor: float) -> DataFrame:
 
 def rate(events: DataFrame, key: str, time: str, seconds: int) -> DataFrame:
     """`events` with the number of the key's events in the last `seconds`, this one included."""
-    last = Window.partitionBy(key).orderBy(F.unix_micros(time)).rangeBetween(-seconds * 1_000_000 + 1, 0)
+    last = Window.partitionBy(key).orderBy(F.unix_micros(F.col(time).cast("timestamp"))).rangeBetween(-seconds * 1_000_000 + 1, 0)
     return events.withColumn("recent", F.count("*").over(last))

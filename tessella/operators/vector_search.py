@@ -88,7 +88,7 @@ def _cells_of(centres: np.ndarray, probes: int):
     return run
 
 
-def indexed_topk(data: DataFrame, queries: DataFrame, k: int, cells: int = 16, probes: int = 6, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def indexed_topk(data: DataFrame, queries: DataFrame, k: int, cells: int = 16, probes: int = 12, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank) by an index of cells: every row is in its nearest cell, a query
     looks into its `probes` nearest. Approximate; see the measured recall."""
     centres = fit_cells(data, vector_col, cells)

@@ -139,7 +139,7 @@ def resume_anti_join(spark: SparkSession, d: str) -> DataFrame:
 def pearson_f1_faithfulness(spark: SparkSession, d: str) -> DataFrame:
     rows = _results(spark, d).select("run_id", F.col("f1").cast("double").alias("a"), F.col("faithfulness").cast("double").alias("b")).dropna(subset=["a", "b"])
     good = (F.count("*") >= 3) & (F.stddev_pop("a") > 0) & (F.stddev_pop("b") > 0)
-    return rows.groupBy("run_id").agg(F.when(good, F.round(F.corr("a", "b"), 6)).alias("r"), F.count("*").alias("n"))
+    return rows.groupBy("run_id").agg(F.when(good, F.round(T.correlation(F.col("a"), F.col("b")), 6)).alias("r"), F.count("*").alias("n"))
 
 
 @query(_R + """ SELECT run_id, count(*) AS n, round(avg(abs(a - b)), 6) AS mean_gap, round(avg((abs(a - b) <= 0.25 + 1e-9)::INT), 6) AS within_step,
@@ -165,7 +165,7 @@ def weight_grid_correlation(spark: SparkSession, d: str) -> DataFrame:
     rows = _results(spark, d).select(*(F.col(c).cast("double").alias(c) for c in ("f1", "recall_at_k", "faithfulness"))).dropna()
     both = rows.crossJoin(F.broadcast(grid))  # 21 rows
     score = F.col("w") * F.col("f1") + (1 - F.col("w")) * F.col("recall_at_k")
-    return both.groupBy("step").agg(F.round(F.corr(score, F.col("faithfulness")), 6).alias("r"))
+    return both.groupBy("step").agg(F.round(T.correlation(score, F.col("faithfulness")), 6).alias("r"))
 
 
 @query(_R + """, g AS (SELECT CAST(range AS INTEGER) AS step, (range + 1) * 0.05 AS t FROM range(19))

@@ -67,8 +67,8 @@ def graph_path_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_BFS + """, c AS (SELECT qid, place, unnest(chunks) AS chunk_id, generate_subscripts(chunks, 1) AS pos FROM b),
-  f AS (SELECT qid, chunk_id, min(place * 100 + pos) AS at FROM c GROUP BY ALL)
-  SELECT qid, chunk_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY at, chunk_id) AS rank FROM f) WHERE rank <= 8""")
+  f AS (SELECT qid, chunk_id, min(place * 100 + pos) AS spot FROM c GROUP BY ALL)
+  SELECT qid, chunk_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY spot, chunk_id) AS rank FROM f) WHERE rank <= 8""")
 def graph_provenance(spark: SparkSession, d: str) -> DataFrame:
     return G.provenance(_paths(spark, d), 8)
 

@@ -75,7 +75,7 @@ _R = """r AS (SELECT DISTINCT question_id, run_id, nullif(lower(trim(route_taken
     avg(cost) FILTER (route = 'vector') AS c_v, avg(cost) FILTER (route = 'graph') AS c_g, avg(cost) FILTER (route = 'hybrid') AS c_h
     FROM r WHERE label IS NOT NULL GROUP BY question_id HAVING count(DISTINCT label) = 1),
   q AS (SELECT * FROM p WHERE f_v IS NOT NULL AND f_g IS NOT NULL AND f_h IS NOT NULL AND c_v IS NOT NULL AND c_g IS NOT NULL AND c_h IS NOT NULL AND conf IS NOT NULL AND top IS NOT NULL),
-  t AS (SELECT a.range AS i, b.range AS j, a.range * 0.1 AS mc, b.range * 0.1 AS ms FROM range(11) a, range(11) b),
+  t AS (SELECT a.range AS i, b.range AS j, a.range * 0.1::DOUBLE AS mc, b.range * 0.1::DOUBLE AS ms FROM range(11) a, range(11) b),
   x AS (SELECT i, j, f_v, f_g, f_h, c_v, c_g, c_h, CASE WHEN conf < mc THEN 'hybrid' WHEN label = 'single_hop' THEN CASE WHEN top >= ms THEN 'vector' ELSE 'hybrid' END
     WHEN path THEN 'graph' ELSE 'hybrid' END AS route FROM q, t)"""
 
@@ -120,13 +120,13 @@ def model_selector(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT run_id, question_id, round(0.5 * CAST(sp_precision AS DOUBLE) + 0.5 * CASE nullif(lower(trim(route_taken)), '')
     WHEN 'hybrid' THEN (least(1.0, CAST(mrr AS DOUBLE) / 0.55) + CASE WHEN recall_at_k > 0.5 THEN 1.0 ELSE 0.3 END) / 2
-    WHEN 'graph' THEN CASE WHEN recall_at_k > 0.5 THEN 1.0 ELSE 0.3 END ELSE least(1.0, CAST(mrr AS DOUBLE) / 0.55) END, 3) AS confidence
+    WHEN 'graph' THEN CASE WHEN recall_at_k > 0.5 THEN 1.0 ELSE 0.3 END ELSE least(1.0, CAST(mrr AS DOUBLE) / 0.55) END, 4) AS confidence
   FROM (SELECT DISTINCT * FROM eval_results) WHERE sp_precision IS NOT NULL AND mrr IS NOT NULL AND recall_at_k IS NOT NULL""")
 def answer_confidence(spark: SparkSession, d: str) -> DataFrame:
     """Sentence precision stands for citation coverage, reciprocal rank for the top score."""
     rows = telemetry.once(table(spark, d, "eval_results")).dropna(subset=["sp_precision", "mrr", "recall_at_k"])
     score = R.answer_confidence(F.col("sp_precision").cast("double"), F.col("mrr").cast("double"), F.col("recall_at_k") > 0.5, F.coalesce("route_taken", F.lit("vector")))
-    return rows.select("run_id", "question_id", F.round(score, 3).alias("confidence"))
+    return rows.select("run_id", "question_id", score.alias("confidence"))
 
 
 def _lists(spark: SparkSession, d: str) -> DataFrame:

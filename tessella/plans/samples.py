@@ -104,7 +104,7 @@ def supporting_spans(spark: SparkSession, d: str) -> DataFrame:
   k AS (SELECT id, p, g, unnest(gt) AS w FROM t), n AS (SELECT id, p, g, w, count(*) AS c FROM k GROUP BY ALL),
   m AS (SELECT id, p, g, unnest(pt) AS w FROM t), o AS (SELECT id, p, g, w, count(*) AS c FROM m GROUP BY ALL),
   s AS (SELECT n.id, n.p, n.g, sum(least(n.c, o.c)) AS same FROM n JOIN o USING (id, p, g, w) GROUP BY ALL)
-  SELECT t.id, md5(t.p || '|' || t.g) AS print, round(CASE WHEN coalesce(same, 0) = 0 THEN 0 ELSE 2 * same / (len(pt) + len(gt)) END, 6) AS f1 FROM t LEFT JOIN s USING (id, p, g)""")
+  SELECT t.id, md5(t.p || '|' || t.g) AS print, round(CASE WHEN (t.p IN ('yes', 'no', 'noanswer') OR t.g IN ('yes', 'no', 'noanswer')) AND t.p <> t.g THEN 0 WHEN coalesce(same, 0) = 0 THEN 0 ELSE 2 * same / (len(pt) + len(gt)) END, 6) AS f1 FROM t LEFT JOIN s USING (id, p, g)""")
 def token_f1(spark: SparkSession, d: str) -> DataFrame:
     """Token F1 of each answer against its question, as of a prediction against a gold answer."""
     from tessella.operators.metrics import token_f1 as f1
