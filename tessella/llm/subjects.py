@@ -218,26 +218,32 @@ def terms(counts: np.ndarray, areas: int) -> tuple[np.ndarray, np.ndarray]:
     return area.astype(np.int32), weight
 
 
+def spoken(codes: np.ndarray, rows: np.ndarray, n_rows: int, area: np.ndarray, weight: np.ndarray, areas: int) -> np.ndarray:
+    """How many sentences of each row (of `n_rows`) speak of each area.
+
+    `codes` are the word ids of all rows' sentences, each sentence ended by -1; `rows` says whose.
+    """
+    ends = codes < 0
+    sentence = np.cumsum(ends) - ends
+    words = ~ends
+    at = sentence[words] * areas + area[codes[words]]
+    sums = np.bincount(at, weight[codes[words]], int(ends.sum()) * areas).reshape(-1, areas)
+    told = sums.max(1, initial=0) > 0
+    at = rows[ends][told] * areas + sums[told].argmax(1)
+    return np.bincount(at, minlength=n_rows * areas).reshape(n_rows, areas)
+
+
 def _assigned(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         area, weight = shared.value
         for batch in batches:
-            keys, found, shares = [], [], []
-            for i, codes in enumerate(batch.column("codes")):
-                ids = np.array(codes.as_py(), np.int32)
-                speaks = np.zeros(len(names), np.int64)
-                for part in np.split(ids, np.flatnonzero(ids < 0) + 1):
-                    part = part[part >= 0]
-                    if len(part):
-                        sums = np.bincount(area[part], weight[part], len(names))
-                        if sums.max() > 0:
-                            speaks[sums.argmax()] += 1
-                for k in np.flatnonzero((speaks > 0) & (speaks >= ABOUT * speaks.sum())):
-                    keys.append(i)
-                    found.append(names[k])
-                    shares.append(float(speaks[k] / speaks.sum()))
+            column = batch.column("codes")
+            rows = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+            counts = spoken(column.flatten().to_numpy(), rows, len(column), area, weight, len(names))
+            share = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+            row, k = np.nonzero((counts > 0) & (share >= ABOUT))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(pa.array(keys, pa.int64())), pa.array(found, pa.string()), pa.array(shares, pa.float64())],
+                [batch.column("key").take(pa.array(row)), pa.array([names[i] for i in k], pa.string()), pa.array(share[row, k], pa.float64())],
                 names=["key", "subject", "share"],
             )
 
