@@ -76,7 +76,8 @@ def _edges(overlap: int):
     """mapInArrow over chunks: pre-token boundaries (document offsets) in both overlaps.
 
     A chunk's last boundary may be due to its end, so those within one character of the end
-    are left out unless the chunk ends its document.
+    are left out; so are those after white space, as a pre-token of white space depends on what
+    follows it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +88,7 @@ def _edges(overlap: int):
                 cols["text"].to_pylist(), cols["at"].to_pylist(), cols["step"].to_pylist()
             ):
                 ends = boundaries(text)
-                safe = [e for e in ends if e < len(text) - 1]
+                safe = [e for e in ends if e < len(text) - 1 and not text[e - 1].isspace()]
                 heads.append([at + e for e in safe if e <= overlap])
                 tails.append([at + e for e in safe if e >= step])
             yield pa.RecordBatch.from_arrays(

@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +54,11 @@ def language(code: str | None) -> str:
     return (code or "").strip().lower()[:2]
 
 
+def mark(sentence: str) -> str:
+    """Sixteen hexadecimal digits that stand for a sentence."""
+    return xxhash.xxh64_hexdigest(sentence)
+
+
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(print, lang, items): the different words, sentences (s:) and n: of each text."""
     for batch in batches:
@@ -60,7 +66,7 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = []
         for text in texts:
             parts = sentences(text)
-            items.append([*set(_WORD.findall(" ".join(parts))), *{"s:" + s for s in parts if " " in s and len(s) < 200}, "n:"])
+            items.append([*set(_WORD.findall(" ".join(parts))), *{"s:" + mark(s) for s in parts if " " in s and len(s) < 200}, "n:"])
         yield pa.RecordBatch.from_arrays(
             [batch.column("print"), pa.array([language(x) for x in langs]), pa.array(items, pa.list_(pa.string()))],
             names=["print", "lang", "items"],
@@ -136,7 +142,7 @@ def _coded(shared):
             out = []
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 lang, codes = language(lang), []
-                parts = [_WORD.findall(s) for s in sentences(text) if s not in v.stock]
+                parts = [_WORD.findall(s) for s in sentences(text) if mark(s) not in v.stock]
                 ids = v.ids.get(v.model_of(lang, [w for p in parts for w in p] if lang not in v.ids else []) or "", {})
                 for words in parts:
                     found = {ids[w] for w in words if w in ids}
