@@ -98,7 +98,7 @@ def _slim(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
     return rows.filter(F.length(F.trim("text")) > 0).withColumn("print", F.xxhash64("text"))
 
 
-def vocabulary(slim: DataFrame) -> Vocabulary:
+def vocabulary(slim: DataFrame, frequent: float = FREQUENT) -> Vocabulary:
     """Words, frequent words and set phrases by language, counted once for each distinct text."""
     items = slim.select("print", "text", "lang").mapInArrow(_items, "print long, lang string, items array<string>")
     counts = (
@@ -120,7 +120,7 @@ def vocabulary(slim: DataFrame) -> Vocabulary:
         words = sorted((r.lang, r.item, r.n) for r in rows.collect())
     v.frequent = {x: set() for x in v.langs}
     for lang, word, n in words:
-        if n > FREQUENT * sizes[lang]:
+        if n > frequent * sizes[lang]:
             v.frequent[lang].add(word)
     anywhere = set().union(*v.frequent.values()) if v.frequent else set()
     v.ids, kept = {x: {} for x in v.langs}, []
@@ -271,7 +271,8 @@ def label_seeds(coded: DataFrame, labels: DataFrame, names: list[str], words: in
 
 
 def document_subjects(
-    docs: DataFrame, labels: DataFrame, areas: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame, labels: DataFrame, areas: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    frequent: float = FREQUENT,
 ) -> DataFrame:
     """(id_col, subject, share): the areas of each document, none, one or two as a rule.
 
@@ -284,7 +285,7 @@ def document_subjects(
     names = sorted(r.subject for r in areas.select("subject").distinct().collect() if r.subject)  # the fixed table
     slim = _slim(docs, id_col, text_col, lang_col)
     key_type = slim.schema["key"].dataType.simpleString()
-    v = vocabulary(slim)
+    v = vocabulary(slim, frequent)
     shared = spark.sparkContext.broadcast(v)
     coded = cut(slim.mapInArrow(_coded(shared), f"key {key_type}, print long, codes array<int>"))
     seeds = label_seeds(coded, labels, names, len(v.counts)) if names and len(v.counts) else np.zeros((0, len(names)))
