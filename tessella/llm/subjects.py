@@ -5,8 +5,8 @@ has a model of one topic for each area and a few for the rest; the area topics b
 words of documents labelled with the area, the others at the words of all. A pass computes the
 documents' topic proportions and the expected counts of words by topic inside tasks and sums
 the counts by word; the driver holds only the tables of words by topic, whose size is bounded by the
-vocabulary's shares. Then each word's distribution over the area topics is looked at: a word
-that is nearly all of one area's is a term of it. A sentence speaks of the area its terms weigh
+vocabulary's shares. Topics get their area from their top terms: from the labels of the texts
+these stand in. A word that is nearly all of one area's topics is a term of the area. A sentence speaks of the area its terms weigh
 most for; a document is about the areas that a quarter of its speaking sentences speak of.
 Sentences that stand literally in many texts (set phrases, figures of speech) speak of none.
 """
@@ -28,10 +28,12 @@ from tessella.session import cut
 #: A language has its own model if this share of the distinct texts (and 20) is in it.
 LANGUAGE_SHARE = 0.03
 #: Words of more than FREQUENT of a language's texts, or fewer than RARE (and 4), are no terms.
-FREQUENT, RARE = 0.08, 0.0006
+FREQUENT, RARE = 0.13, 0.0006
 #: A sentence of this share of all texts (and 5) is a set phrase.
 STOCK = 0.005
 OTHER_TOPICS = 2
+#: Terms looked at to find a topic's area, and the share of their labels that it must have.
+TOP_TERMS, TOPIC_SHARE = 25, 0.4
 PASSES = 6
 INNER = 6
 ALPHA, BETA = 0.1, 0.05
@@ -215,6 +217,38 @@ def fit_topics(texts: DataFrame, v: Vocabulary, seeds: np.ndarray, passes: int =
     return counts
 
 
+def topic_areas(counts: np.ndarray, seeds: np.ndarray, mine: np.ndarray, top: int = TOP_TERMS) -> np.ndarray:
+    """The area of each topic of one language (`mine`: its words), -1 for none.
+
+    A topic's `top` terms are those that are most its own. If the labels of the documents they
+    stand in name one area for most of their weight, it is that area's; labels of frequent areas count less.
+    """
+    own, labels = counts[mine], seeds[mine] / np.maximum(seeds[mine].sum(0), 1e-9)
+    base = own.sum(1) / max(own.sum(), 1e-9)
+    phi = own / np.maximum(own.sum(0), 1e-9)
+    telling = own * np.log(np.maximum(phi, 1e-12) / np.maximum(base, 1e-12)[:, None])
+    areas = np.full(counts.shape[1], -1)
+    for k in range(counts.shape[1]):
+        best = np.argsort(-telling[:, k], kind="stable")[:top]
+        best = best[(telling[best, k] > 0) & (labels[best].sum(1) > 0)]
+        share = labels[best] / labels[best].sum(1, keepdims=True)
+        weight = own[best, k] @ share / max(own[best, k].sum(), 1e-9) if len(best) else np.zeros(seeds.shape[1])
+        if len(weight) and weight.max() >= TOPIC_SHARE:
+            areas[k] = weight.argmax()
+    return areas
+
+
+def area_counts(counts: np.ndarray, seeds: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """Counts of words by area: those of the topics that are an area's, together."""
+    out = np.zeros_like(seeds)
+    for lang in range(len(v.langs)):
+        mine = v.lang_of == lang
+        for k, area in enumerate(topic_areas(counts, seeds, mine)):
+            if area >= 0:
+                out[mine, area] += counts[mine, k]
+    return out
+
+
 def terms(counts: np.ndarray, areas: int) -> tuple[np.ndarray, np.ndarray]:
     """(area, weight) of each word: its area and share there, weight 0 if it is no term."""
     own = counts[:, :areas]
@@ -293,7 +327,7 @@ def document_subjects(
         return slim.select(F.col("key").alias(id_col), F.lit("").alias("subject"), F.lit(0.0).alias("share")).limit(0)
     ids = F.filter(F.array_distinct("codes"), lambda c: c >= 0)
     texts = cut(coded.select("print", ids.alias("ids")).dropDuplicates(["print"]).filter(F.size("ids") > 0).select("ids"))
-    area, weight = terms(fit_topics(texts, v, seeds), len(names))
+    area, weight = terms(area_counts(fit_topics(texts, v, seeds), seeds, v), len(names))
     told = spark.sparkContext.broadcast((area, weight))
     found = coded.select("key", "codes").mapInArrow(_assigned(told, names), f"key {key_type}, subject string, share double")
     return found.dropDuplicates(["key", "subject"]).withColumnRenamed("key", id_col)

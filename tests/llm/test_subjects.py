@@ -4,7 +4,8 @@ import numpy as np
 
 from tessella.llm import subjects as S
 
-TERMS = {"law": "court verdict appeal statute plaintiff clause".split(), "sport": "goal referee stadium penalty league relay".split()}
+LETTERS = "abcdefghij"
+TERMS = {area: [area + x + y for x in LETTERS[:4] for y in LETTERS[:6]] for area in ("law", "sport")}
 SCHEMA = "doc_id long, text string, lang string, subject string"
 
 
@@ -12,8 +13,9 @@ def _corpus(n=240):
     rng, docs, labels = random.Random(3), [], []
     for i in range(n):
         about = [["law"], ["sport"], ["law", "sport"], []][i % 4]
-        parts = [f"The {rng.choice(TERMS[rng.choice(about)])} was noted in town{rng.randint(0, 30)}." for _ in range(12)] if about else ["Nothing of note was found in town1."] * 3
-        parts.insert(0, "It was a relay of good news.")
+        town = lambda: "".join(rng.choice(LETTERS) for _ in range(5))
+        parts = [f"The {' and '.join(rng.sample(TERMS[area], 2))} were noted in {town()}." for _ in range(6) for area in about * (3 - len(about))]
+        parts += [f"Nothing of note was found in {town()}."] * 2 + ["It was a lawaa of good news."]
         docs.append((i, " ".join(parts), rng.choice(["en", "EN", "en-XX"]), "clash"))
         labels += [(i, rng.choice([a.upper() + " ", a]), "x") for a in about if i % 3 == 0]
     return docs, labels
