@@ -30,9 +30,12 @@ def hourly(spark: SparkSession, path: str) -> DataFrame:
     batch = spark.read.parquet(path)
     naive = dict(batch.dtypes)["ts"] == "timestamp_ntz"
     ts = F.col("ts").cast("timestamp").alias("ts") if naive else F.col("ts")
-    # A single file is streamed as a folder filtered to it.
+    reader = spark.readStream.schema(batch.schema)
     folder, _, name = path.rpartition("/")
-    stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", name).parquet(folder)
+    if any(f.rsplit("/", 1)[-1] == name for f in batch.inputFiles()):  # a single file: its folder, filtered to it
+        stream = reader.option("pathGlobFilter", name).parquet(folder)
+    else:
+        stream = reader.parquet(path)
     keep = windowed(stream.select(ts, "event_type", "value"))
 
     def write(rows: DataFrame, epoch: int) -> None:
