@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.operators import telemetry as T
-from tessella.plans.registry import query
+from tessella.plans.registry import SQL, query
 from tessella.session import table
 from tessella.streaming import ledger
 
@@ -230,3 +230,44 @@ def integrity_counts(spark: SparkSession, d: str) -> DataFrame:
         .unionByName(missing("triples_without_document", triples.withColumn("doc_ref", F.split_part("chunk_id", F.lit(":"), F.lit(1))), docs, ["doc_ref"]))
         .unionByName(missing("labels_without_document", table(spark, d, "subject_labels"), docs, ["doc_id"]))
     )
+
+
+def _first_best(grid: DataFrame, value: str) -> DataFrame:
+    """The row of a grid with the largest value, the first of equals."""
+    return grid.agg(F.max_by("step", F.struct(F.col(value), -F.col("step"))).alias("step"), F.max(value).alias(value))
+
+
+@query(SQL["weight_grid_correlation"].replace("SELECT step, round(corr(score, f), 6) AS r FROM x GROUP BY step", "SELECT step, r FROM (SELECT step, round(corr(score, f), 6) AS r FROM x GROUP BY step) ORDER BY r DESC, step LIMIT 1"))
+def best_weight_corr(spark: SparkSession, d: str) -> DataFrame:
+    return _first_best(weight_grid_correlation(spark, d), "r")
+
+
+@query("SELECT step, agreement FROM (" + SQL["threshold_grid_agreement"] + ") ORDER BY agreement DESC, step LIMIT 1")
+def best_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return _first_best(threshold_grid_agreement(spark, d), "agreement")
+
+
+_DRAWS = 200
+_WEIGHT = "CASE WHEN u < 0.36788 THEN 0 WHEN u < 0.73576 THEN 1 WHEN u < 0.91970 THEN 2 WHEN u < 0.98101 THEN 3 WHEN u < 0.99634 THEN 4 ELSE 5 END"
+
+
+@query(_R + f""", q AS (SELECT question_id, avg(CAST(f1 AS DOUBLE)) FILTER (route_taken = 'hybrid') - avg(CAST(f1 AS DOUBLE)) FILTER (route_taken = 'vector') AS diff
+    FROM r GROUP BY question_id),
+  b AS (SELECT d.range AS draw, diff, CAST('0x' || substr(md5(d.range || '|' || question_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM q, range({_DRAWS}) d WHERE diff IS NOT NULL),
+  m AS (SELECT draw, sum(diff * {_WEIGHT}) / sum({_WEIGHT}) AS mean FROM b GROUP BY draw)
+  SELECT (SELECT count(*) FROM q WHERE diff IS NOT NULL) AS n, (SELECT round(avg(diff), 6) FROM q) AS mean_diff,
+    round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m""")
+def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Mean difference of hybrid over vector by question, with a 95 % interval of 200 resamples.
+
+    A resample takes each question 0, 1, 2... times as a hash of draw and question says, with the
+    frequencies of a Poisson variable of mean 1; so draws need no order and no shared state.
+    """
+    of = lambda r: F.avg(F.when(F.col("route_taken") == r, F.col("f1").cast("double")))
+    diffs = _results(spark, d).groupBy("question_id").agg((of("hybrid") - of("vector")).alias("diff")).filter("diff is not null")
+    draws = spark.range(_DRAWS).withColumnRenamed("id", "draw")
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", "draw", "question_id")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    taken = diffs.crossJoin(F.broadcast(draws)).withColumn("u", u).withColumn("w", F.expr(_WEIGHT))  # 200 rows
+    means = taken.groupBy("draw").agg((F.sum(F.col("diff") * F.col("w")) / F.sum("w")).alias("mean"))
+    interval = means.agg(F.round(F.percentile("mean", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("mean", F.lit(0.975)), 6).alias("high"))
+    return diffs.agg(F.count("*").alias("n"), F.round(F.avg("diff"), 6).alias("mean_diff")).crossJoin(interval)  # one row each

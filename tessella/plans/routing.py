@@ -153,3 +153,25 @@ def mmr_rerank(spark: SparkSession, d: str) -> DataFrame:
     hits = hits.join(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "id", "left")
     hits = hits.join(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
     return R.diversified(hits)
+
+
+@query()
+def logreg_types(spark: SparkSession, d: str) -> DataFrame:
+    """Types of dev and test questions by a multinomial regression on the cues, fitted on train."""
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.classification import LogisticRegression
+
+    split = table(spark, d, "gold_items").select("id", F.lower(F.trim("split")).alias("split")).filter("split <> ''").distinct()
+    rows = VectorAssembler(inputCols=_CUE_NAMES, outputCol="features").transform(_questions(spark, d).filter("label is not null").join(split, "id"))
+    index = StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc").fit(rows)
+    train = index.transform(rows.filter("split = 'train'"))
+    model = LogisticRegression(featuresCol="features", labelCol="target", regParam=0.001, maxIter=60).fit(train)
+    said = model.transform(index.transform(rows.filter("split <> 'train'")))
+    names = F.array(*map(F.lit, index.labels))
+    return said.select("id", "label", F.get(names, F.col("prediction").cast("int")).alias("predicted"))
+
+
+@query()
+def logreg_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out accuracy of the regression by type."""
+    return logreg_types(spark, d).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("predicted")).cast("int")), 4).alias("accuracy"))
