@@ -8,7 +8,9 @@ the counts by word; the driver holds only the tables of words by topic, whose si
 vocabulary's shares. Topics get their area from their top terms: from the labels of the texts
 these stand in. A word that is nearly all of one area's topics is a term of the area. A sentence speaks of the area its terms weigh
 most for; a document is about the areas that a quarter of its speaking sentences speak of.
-Sentences that stand literally in many texts (set phrases, figures of speech) speak of none.
+Sentences that stand literally in many texts, near copies apart, don't count in the topics. Such a
+sentence speaks of an area only if the texts it stands in are about that area by their other
+sentences; one that stands in texts of many areas is a set phrase or figure of speech.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.session import cut
@@ -29,8 +31,10 @@ from tessella.session import cut
 LANGUAGE_SHARE = 0.03
 #: Words of more than FREQUENT of a language's texts, or fewer than RARE (and 4), are no terms.
 FREQUENT, RARE = 0.13, 0.0006
-#: A sentence of this share of all texts (and 5) is a set phrase.
+#: A sentence of this share of all texts (and 5) may be a set phrase.
 STOCK = 0.005
+#: What stands in texts of which a share of an area this far from the overall one to 1 is the area's; texts needed.
+OWN, OWN_TEXTS = 0.5, 3
 OTHER_TOPICS = 2
 #: Terms looked at to find a topic's area, and the share of their labels that it must have.
 TOP_TERMS, TOPIC_SHARE = 25, 0.4
@@ -81,7 +85,8 @@ class Vocabulary:
 
     langs: list[str] = field(default_factory=list)
     frequent: dict[str, set[str]] = field(default_factory=dict)
-    stock: set[str] = field(default_factory=set)
+    stock: dict[str, int] = field(default_factory=dict)
+    stock_least: float = 5.0
     ids: dict[str, dict[str, int]] = field(default_factory=dict)
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0))
     lang_of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
@@ -110,11 +115,11 @@ def vocabulary(slim: DataFrame, frequent: float = FREQUENT) -> Vocabulary:
     counts = cut(counts)
     sizes = {r.lang: r.n for r in counts.filter("item = 'n:'").collect()}  # one row for each language
     total = sum(sizes.values())
-    v = Vocabulary()
+    v = Vocabulary(stock_least=max(5, STOCK * total))
     known = sum(n for x, n in sizes.items() if x)
     v.langs = sorted(x for x, n in sizes.items() if x and n >= max(20, LANGUAGE_SHARE * known))
-    phrases = counts.filter("item like 's:%'").groupBy("item").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(5, STOCK * total))
-    v.stock = {r.item[2:] for r in phrases.select("item").collect()}
+    phrases = counts.filter("item like 's:%'").groupBy("item").agg(F.sum("n").alias("n")).filter(F.col("n") >= v.stock_least)
+    v.stock = {x: i for i, x in enumerate(sorted(r.item[2:] for r in phrases.select("item").collect()))}
     least = F.create_map(*(F.lit(x) for la in v.langs for x in (la, float(max(4, RARE * sizes[la]))))) if v.langs else None
     words = []
     if v.langs:
@@ -136,28 +141,111 @@ def vocabulary(slim: DataFrame, frequent: float = FREQUENT) -> Vocabulary:
 
 
 def _coded(shared):
-    """mapInArrow: (key, print, codes); the word ids of each sentence, sentences ended by -1."""
+    """mapInArrow: (key, print, lang, codes, stock, mostly), lang that of the model.
+
+    codes are the word ids of each sentence, sentences ended by -1, or by -2 - i if it is the i-th of the
+    frequent ones; stock are the latter, in order; mostly: they are half of the text's sentences or more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = shared.value
         for batch in batches:
-            out = []
+            out, models, stocks, mostly = [], [], [], []
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 lang, codes = language(lang), []
-                parts = [_WORD.findall(s) for s in sentences(text) if mark(s) not in v.stock]
-                ids = v.ids.get(v.model_of(lang, [w for p in parts for w in p] if lang not in v.ids else []) or "", {})
-                for words in parts:
+                whole = sentences(text)
+                marks = [v.stock.get(mark(s), -1) for s in whole]
+                parts = [_WORD.findall(s) for s in whole]
+                model = v.model_of(lang, [w for p, m in zip(parts, marks) if m < 0 for w in p] if lang not in v.ids else []) or ""
+                ids = v.ids.get(model, {})
+                for words, m in zip(parts, marks):
                     found = {ids[w] for w in words if w in ids}
                     if found:
-                        codes += [*sorted(found), -1]
+                        codes += [*sorted(found), -2 - m if m >= 0 else -1]
                 out.append(codes)
+                models.append(v.langs.index(model) if model else -1)
+                stocks.append(sorted({m for m in marks if m >= 0}))
+                mostly.append(2 * sum(m >= 0 for m in marks) >= sum(" " in s for s in whole))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("print"), pa.array(out, pa.list_(pa.int32()))], names=["key", "print", "codes"]
+                [
+                    batch.column("key"), batch.column("print"), pa.array(models, pa.int32()), pa.array(out, pa.list_(pa.int32())),
+                    pa.array(stocks, pa.list_(pa.int32())), pa.array(mostly, pa.bool_()),
+                ],
+                names=["key", "print", "lang", "codes", "stock", "mostly"],
             )
 
     return run
 
 
+def stock_classes(texts: DataFrame) -> DataFrame:
+    """(print, i, next): the frequent sentences of each of `texts`, with what tells near copies.
+
+    In a text of mostly frequent sentences each is followed by the next of them in a fixed order: near copies
+    have few different followers, whatever their number. next is null where the text stands for itself.
+    """
+    n = F.size("stock")
+    at = F.posexplode("stock").alias("at", "i")
+    rows = texts.filter(n > 0).select("*", at).withColumn("next", F.when(F.col("mostly") & (n > 1), F.get("stock", (F.col("at") + 1) % n)))
+    return rows.drop("stock", "mostly", "at")
+
+
+def set_phrases(coded: DataFrame, v: Vocabulary) -> np.ndarray:
+    """Of each frequent sentence whether it is frequent over near-copy classes too."""
+    marked = coded.filter(F.size("stock") > 0).select("print", "stock", "mostly").dropDuplicates(["print"])
+    counts = stock_classes(marked).groupBy("i").agg((F.count_distinct("next") + F.count_if(F.col("next").isNull())).alias("n"))
+    out = np.zeros(len(v.stock), bool)
+    for row in counts.filter(F.col("n") >= v.stock_least).collect():  # at most the frequent sentences
+        out[row.i] = True
+    return out
+
+
+def _without(shared):
+    """mapInArrow: the codes of sentences that aren't set phrases."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stock = np.append(shared.value, [False])
+        for batch in batches:
+            column = batch.column("codes")
+            flat, offsets = column.flatten().to_numpy(), column.offsets.to_numpy()
+            ends = flat < 0
+            keep = ~stock[np.where(flat[ends] < -1, -2 - flat[ends], -1)][np.cumsum(ends) - ends] if len(flat) else np.zeros(0, bool)
+            at = np.concatenate([[0], np.cumsum(keep)])[offsets - offsets[0]].astype(np.int32)
+            codes = pa.ListArray.from_arrays(pa.array(at), pa.array(flat[keep], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("print"), codes], names=["key", "print", "codes"])
+
+    return run
+
+
+def owned(counts: np.ndarray, texts: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Whether each row's share of an area (counts / texts) lies far enough above the overall share `base`."""
+    share = counts / np.maximum(texts, 1e-9)[:, None]
+    return (share >= base + OWN * (1 - base)) & (texts >= OWN_TEXTS)[:, None]
+
+
+def stock_areas(coded: DataFrame, told, stock: np.ndarray, langs: int, areas: int) -> np.ndarray:
+    """The areas that each frequent sentence may speak of: those of the texts it stands in by their other
+    sentences; near copies count as one. Frequent in near copies only: all."""
+    allowed = np.repeat(~stock[:, None], areas, axis=1)
+    if not stock.any():
+        return allowed
+    schema = "print long, lang int, areas array<int>, stock array<int>, mostly boolean"
+    texts = cut(coded.mapInArrow(_about(told, areas), schema).dropDuplicates(["print"]).filter(F.size("areas") > 0))
+    base = np.zeros((langs + 1, areas + 1))
+    ks = F.explode(F.concat("areas", F.array(F.lit(areas)))).alias("k")
+    for row in texts.select("lang", ks).groupBy("lang", "k").count().collect():  # languages x areas
+        base[row.lang, row.k] = row["count"]
+    base = base[:, :-1] / np.maximum(base[:, -1:], 1)
+    rows = stock_classes(texts).select("i", "next", "lang", ks).groupBy("i", "next", "lang", "k").count()
+    of_class = F.max(F.when(F.col("k") == areas, F.col("count"))).over(Window.partitionBy("i", "next", "lang"))
+    weighted = rows.withColumn("n", F.when(F.col("next").isNull(), F.col("count")).otherwise(F.col("count") / of_class))
+    sums = np.zeros((langs + 1, len(stock), areas + 1))
+    for row in weighted.groupBy("i", "lang", "k").agg(F.sum("n").alias("n")).collect():  # frequent sentences x areas
+        sums[row.lang, row.i, row.k] = row.n
+    lang = sums[:, :, -1].argmax(0)
+    sums = sums[lang, np.arange(len(stock))]
+    return allowed | owned(sums[:, :-1], sums[:, -1], base[lang])
+
+
 def expected_counts(docs: list[np.ndarray], phi: np.ndarray, alpha: np.ndarray) -> np.ndarray:
     """Expected counts of words (rows) by topic over `docs`, each an array of its word ids."""
     sizes = np.fromiter(map(len, docs), np.int64, len(docs))
@@ -258,10 +346,13 @@ def terms(counts: np.ndarray, areas: int) -> tuple[np.ndarray, np.ndarray]:
     return area.astype(np.int32), weight
 
 
-def spoken(codes: np.ndarray, rows: np.ndarray, n_rows: int, area: np.ndarray, weight: np.ndarray, areas: int) -> np.ndarray:
+def spoken(
+    codes: np.ndarray, rows: np.ndarray, n_rows: int, area: np.ndarray, weight: np.ndarray, areas: int, allowed: np.ndarray | None = None,
+) -> np.ndarray:
     """How many sentences of each row (of `n_rows`) speak of each area.
 
-    `codes` are the word ids of all rows' sentences, each sentence ended by -1; `rows` says whose.
+    `codes` are the word ids of all rows' sentences, each sentence ended by a negative number; `rows` says
+    whose. A sentence ended by -2 - i speaks only of the areas of the i-th row of `allowed`.
     """
     ends = codes < 0
     sentence = np.cumsum(ends) - ends
@@ -269,19 +360,42 @@ def spoken(codes: np.ndarray, rows: np.ndarray, n_rows: int, area: np.ndarray, w
     at = sentence[words] * areas + area[codes[words]]
     sums = np.bincount(at, weight[codes[words]], int(ends.sum()) * areas).reshape(-1, areas)
     told = sums.max(1, initial=0) > 0
+    if allowed is not None and len(allowed):
+        stock = -2 - codes[ends]
+        told &= (stock < 0) | allowed[np.maximum(stock, 0), sums.argmax(1)]
     at = rows[ends][told] * areas + sums[told].argmax(1)
     return np.bincount(at, minlength=n_rows * areas).reshape(n_rows, areas)
 
 
+def _shares(column: pa.ListArray, told: tuple, areas: int) -> np.ndarray:
+    """The share of each area in the speaking sentences of each row, 0 if it isn't about it."""
+    area, weight, allowed = told
+    rows = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+    counts = spoken(column.flatten().to_numpy(), rows, len(column), area, weight, areas, allowed)
+    share = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+    return np.where((counts > 0) & (share >= ABOUT), share, 0.0)
+
+
+def _about(shared, areas: int):
+    """mapInArrow: the areas of each text, with its print, lang and frequent sentences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            share = _shares(batch.column("codes"), shared.value, areas) > 0
+            found = pa.array([np.flatnonzero(x).tolist() for x in share], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("print"), batch.column("lang"), found, batch.column("stock"), batch.column("mostly")],
+                names=["print", "lang", "areas", "stock", "mostly"],
+            )
+
+    return run
+
+
 def _assigned(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        area, weight = shared.value
         for batch in batches:
-            column = batch.column("codes")
-            rows = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
-            counts = spoken(column.flatten().to_numpy(), rows, len(column), area, weight, len(names))
-            share = counts / np.maximum(counts.sum(1, keepdims=True), 1)
-            row, k = np.nonzero((counts > 0) & (share >= ABOUT))
+            share = _shares(batch.column("codes"), shared.value, len(names))
+            row, k = np.nonzero(share)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key").take(pa.array(row)), pa.array([names[i] for i in k], pa.string()), pa.array(share[row, k], pa.float64())],
                 names=["key", "subject", "share"],
@@ -321,14 +435,18 @@ def document_subjects(
     key_type = slim.schema["key"].dataType.simpleString()
     v = vocabulary(slim, frequent)
     shared = spark.sparkContext.broadcast(v)
-    coded = cut(slim.mapInArrow(_coded(shared), f"key {key_type}, print long, codes array<int>"))
-    seeds = label_seeds(coded, labels, names, len(v.counts)) if names and len(v.counts) else np.zeros((0, len(names)))
+    schema = f"key {key_type}, print long, lang int, codes array<int>, stock array<int>, mostly boolean"
+    coded = cut(slim.mapInArrow(_coded(shared), schema))
+    stock = set_phrases(coded, v)
+    plain = coded.select("key", "print", "codes").mapInArrow(_without(spark.sparkContext.broadcast(stock)), f"key {key_type}, print long, codes array<int>")
+    seeds = label_seeds(plain, labels, names, len(v.counts)) if names and len(v.counts) else np.zeros((0, len(names)))
     if seeds.sum() == 0:
         return slim.select(F.col("key").alias(id_col), F.lit("").alias("subject"), F.lit(0.0).alias("share")).limit(0)
     ids = F.filter(F.array_distinct("codes"), lambda c: c >= 0)
-    texts = cut(coded.select("print", ids.alias("ids")).dropDuplicates(["print"]).filter(F.size("ids") > 0).select("ids"))
+    texts = cut(plain.select("print", ids.alias("ids")).dropDuplicates(["print"]).filter(F.size("ids") > 0).select("ids"))
     area, weight = terms(area_counts(fit_topics(texts, v, seeds), seeds, v), len(names))
-    told = spark.sparkContext.broadcast((area, weight))
+    first = spark.sparkContext.broadcast((area, weight, np.repeat(~stock[:, None], len(names), axis=1)))
+    told = spark.sparkContext.broadcast((area, weight, stock_areas(coded, first, stock, len(v.langs), len(names))))
     found = coded.select("key", "codes").mapInArrow(_assigned(told, names), f"key {key_type}, subject string, share double")
     return found.dropDuplicates(["key", "subject"]).withColumnRenamed("key", id_col)
 

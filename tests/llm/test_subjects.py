@@ -69,3 +69,24 @@ def test_speaking_sentences_against_a_loop():
     flat = np.array([c for r in rows for c in r], np.int32)
     got = S.spoken(flat, np.repeat(np.arange(30), [len(r) for r in rows]), 30, area, weight, 3)
     assert (got == want).all()
+
+
+def test_frequent_sentences_of_one_area_and_of_many_near_copies_count(spark):
+    docs, labels = _corpus()
+    fixed = "The lawaa and lawbb stand in every book."
+    docs = [(i, text + (" " + fixed if i % 4 == 0 else ""), *rest) for i, text, *rest in docs]
+    docs += [(2000, f"{fixed} Nothing was seen.", "en", ""), (2001, "It was a lawaa of good news. Nothing was seen.", "en", "")]
+    sport = next(t for i, t, *_ in docs if i % 4 == 1).split(". ")
+    rng = random.Random(5)
+    for i in range(150):
+        copied = list(sport)
+        copied[rng.randrange(len(copied))] = f"Note {''.join(rng.choice(LETTERS) for _ in range(6))} was added"
+        docs.append((3000 + i, ". ".join(copied), "en", ""))
+    found: dict = {}
+    for r in S.document_subjects(
+        spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, subject string, annotator string"),
+        spark.createDataFrame([("law",), ("sport",)], "subject string"), frequent=0.8,
+    ).collect():
+        found.setdefault(r.doc_id, set()).add(r.subject)
+    assert found.get(2000) == {"law"} and 2001 not in found
+    assert all(found.get(3000 + i) == {"sport"} for i in range(150))
