@@ -16,6 +16,7 @@ sentences; one that stands in texts of many areas is a set phrase or figure of s
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,7 +30,8 @@ from tessella.session import cut
 
 #: A language has its own model if this share of the distinct texts (and 20) is in it.
 LANGUAGE_SHARE = 0.03
-#: Words of more than FREQUENT of a language's texts, or fewer than RARE (and 4), are no terms.
+#: Words of more than FREQUENT of a language's texts are no terms unless their texts are an area's (OWN); nor
+#: are words of fewer than RARE (and 4).
 FREQUENT, RARE = 0.13, 0.0006
 #: A sentence of this share of all texts (and 5) may be a set phrase.
 STOCK = 0.005
@@ -105,7 +107,55 @@ def _slim(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
     return rows.filter(F.length(F.trim("text")) > 0).withColumn("print", F.xxhash64("text"))
 
 
-def vocabulary(slim: DataFrame, frequent: float = FREQUENT) -> Vocabulary:
+def _clean(labels: DataFrame) -> DataFrame:
+    """(key, subject): labels in lower case without blanks around."""
+    return labels.select(F.col("doc_id").alias("key"), F.lower(F.trim("subject")).alias("subject"))
+
+
+def _told(shared):
+    """mapInArrow over labelled texts: (lang, item, subject, n), the frequent words of each with its labels.
+
+    The item 'n:' stands for all texts, the subject null for all labels.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("text", "lang", "subjects"))
+            for text, lang, subjects in zip(*columns):
+                lang = language(lang)
+                if lang in shared.value:
+                    items = ["n:", *shared.value[lang].intersection(_WORD.findall(" ".join(sentences(text))))]
+                    counts.update((lang, item, x) for item in items for x in [None, *subjects])
+        yield pa.RecordBatch.from_pylist(
+            [{"lang": la, "item": item, "subject": x, "n": n} for (la, item, x), n in counts.items()],
+            pa.schema([("lang", pa.string()), ("item", pa.string()), ("subject", pa.string()), ("n", pa.int64())]),
+        )
+
+    return run
+
+
+def telling_words(slim: DataFrame, labels: DataFrame, names: list[str], frequent: dict[str, set[str]]) -> dict[str, set[str]]:
+    """Of the frequent words of each language those that stand in the texts of an area, by the labels."""
+    subjects = _clean(labels).filter("subject is not null").groupBy("key").agg(F.collect_set(F.when(F.col("subject").isin(names), F.col("subject"))).alias("subjects"))
+    texts = slim.join(subjects, "key").groupBy("print").agg(
+        F.max("text").alias("text"), F.max("lang").alias("lang"), F.array_distinct(F.flatten(F.collect_set("subjects"))).alias("subjects")
+    )
+    shared = slim.sparkSession.sparkContext.broadcast(frequent)  # words of a fixed share of the texts
+    rows = texts.select("text", "lang", "subjects").mapInArrow(_told(shared), "lang string, item string, subject string, n long")
+    counts = {(r.lang, r.item, r.subject): r.n for r in rows.groupBy("lang", "item", "subject").agg(F.sum("n").alias("n")).collect()}
+    out: dict[str, set[str]] = {}
+    for lang, words in frequent.items():
+        some = sorted(words)
+        get = lambda item: np.array([counts.get((lang, item, x), 0) for x in names], float)  # noqa: B023, E731
+        base = get("n:") / max(counts.get((lang, "n:", None), 0), 1)
+        n = np.array([counts.get((lang, w, None), 0) for w in some], float)
+        telling = owned(np.array([get(w) for w in some]).reshape(-1, len(names)), n, base).any(1)
+        out[lang] = {w for w, t in zip(some, telling) if t}
+    return out
+
+
+def vocabulary(slim: DataFrame, frequent: float, labels: DataFrame, names: list[str]) -> Vocabulary:
     """Words, frequent words and set phrases by language, counted once for each distinct text."""
     items = slim.select("print", "text", "lang").mapInArrow(_items, "print long, lang string, items array<string>")
     counts = (
@@ -129,10 +179,10 @@ def vocabulary(slim: DataFrame, frequent: float = FREQUENT) -> Vocabulary:
     for lang, word, n in words:
         if n > frequent * sizes[lang]:
             v.frequent[lang].add(word)
-    anywhere = set().union(*v.frequent.values()) if v.frequent else set()
+    telling = telling_words(slim, labels, names, v.frequent) if names and v.langs else v.frequent
     v.ids, kept = {x: {} for x in v.langs}, []
     for lang, word, n in words:
-        if word not in anywhere:
+        if word not in v.frequent[lang] or word in telling[lang]:
             v.ids[lang][word] = len(kept)
             kept.append((n, v.langs.index(lang)))
     v.counts = np.array([n for n, _ in kept], np.float64)
@@ -409,8 +459,7 @@ def label_seeds(coded: DataFrame, labels: DataFrame, names: list[str], words: in
 
     Labels are read in lower case without blanks around; others than the areas are left out.
     """
-    subject = F.lower(F.trim("subject"))
-    clean = labels.select(F.col("doc_id").alias("key"), subject.alias("subject")).filter(subject.isin(names)).groupBy("key", "subject").count()
+    clean = _clean(labels).filter(F.col("subject").isin(names)).groupBy("key", "subject").count()
     joined = coded.join(clean, "key").select("subject", "count", F.explode(F.array_distinct("codes")).alias("id")).filter("id >= 0")
     seeds = np.zeros((words, len(names)))
     for row in joined.groupBy("subject", "id").agg(F.sum("count").alias("n")).collect():  # words x areas at most
@@ -433,7 +482,7 @@ def document_subjects(
     names = sorted(r.subject for r in areas.select("subject").distinct().collect() if r.subject)  # the fixed table
     slim = _slim(docs, id_col, text_col, lang_col)
     key_type = slim.schema["key"].dataType.simpleString()
-    v = vocabulary(slim, frequent)
+    v = vocabulary(slim, frequent, labels, names)
     shared = spark.sparkContext.broadcast(v)
     schema = f"key {key_type}, print long, lang int, codes array<int>, stock array<int>, mostly boolean"
     coded = cut(slim.mapInArrow(_coded(shared), schema))

@@ -90,3 +90,23 @@ def test_frequent_sentences_of_one_area_and_of_many_near_copies_count(spark):
         found.setdefault(r.doc_id, set()).add(r.subject)
     assert found.get(2000) == {"law"} and 2001 not in found
     assert all(found.get(3000 + i) == {"sport"} for i in range(150))
+
+
+def test_terms_of_a_large_area_and_stop_words_of_another_language(spark):
+    docs, labels = _corpus()
+    # French texts of law and of nothing, whose common word is a term of sport in English.
+    rng = random.Random(7)
+    town = lambda: "".join(rng.choice(LETTERS) for _ in range(5))
+    docs = [(i, text.replace("sportaa", "sportbb") + (f" The puck went to {town()}." if i % 4 == 1 else ""), *rest) for i, text, *rest in docs]
+    docs += [(5000 + i, f"Puck une chose {town()}. {f'Lawaa et lawbb {town()}.' if i % 2 else ''}", "fr", "") for i in range(80)]
+    labels += [(5000 + i, "law" if i % 2 else "none", "x") for i in range(0, 80, 3)]
+    docs += [(6000, "The puck came along.", "en", "")]
+    got = S.document_subjects(
+        spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, subject string, annotator string"),
+        spark.createDataFrame([("law",), ("sport",)], "subject string"),
+    ).collect()
+    found: dict = {}
+    for r in got:
+        found.setdefault(r.doc_id, set()).add(r.subject)
+    assert found.get(6000) == {"sport"}
+    assert all(found.get(5000 + i, set()) == ({"law"} if i % 2 else set()) for i in range(80))
