@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.text import word_similarity
 from tessella.operators import graph as G
 from tessella.operators import resolve as R
 from tessella.plans.registry import query
@@ -130,17 +129,13 @@ def er_name_merge_components(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def alias_seeds(spark: SparkSession, d: str) -> DataFrame:
-    """Persons named in questions: the alias shares a word with the question and is similar to a
-    run of it; score confidence x similarity, aliases inside better longer ones dropped."""
-    names = table(spark, d, "triples").filter("upper(trim(subject_type)) = 'PERSON'").groupBy(F.trim("subject").alias("alias")).agg(F.max("confidence").alias("confidence"))
-    names = names.filter("alias <> ''").withColumn("word", F.explode(F.array_distinct(F.split(R.plain_name(F.col("alias")), " "))))
-    asked = table(spark, d, "gold_items").filter("lower(trim(split)) in ('dev', 'test') and question is not null").select("id", "question").distinct()
-    words = asked.withColumn("word", F.explode(F.array_distinct(F.split(R.plain_name(F.col("question")), " "))))
-    # A person's given name alone is shared by too many: an alias meets a question by its longest word.
-    longest = F.max_by("word", F.struct(F.length("word"), "word"))
-    keyed = names.groupBy("alias", "confidence").agg(longest.alias("word"))
-    met = words.join(keyed, "word").select("id", "question", "alias", "confidence").distinct()
-    scored = met.withColumn("score", F.coalesce("confidence", F.lit(0.0)) * word_similarity(F.lower("alias"), F.lower("question"))).filter("score >= 0.45")
+    """Names of all types in the questions: aliases similar to a run of the question; score
+    confidence x similarity of at least 0.45, aliases inside better longer ones dropped."""
+    rows = table(spark, d, "triples")
+    names = rows.select(F.trim("subject").alias("alias"), "confidence").unionByName(rows.select(F.trim("object").alias("alias"), "confidence"))
+    names = names.filter("alias <> ''").groupBy("alias").agg(F.max("confidence").alias("confidence"))
+    asked = table(spark, d, "gold_items").filter("question is not null").select("id", "question").distinct()
+    scored = asked.join(R.alias_matches(names, asked, 0.45), "question").select("id", "alias", "score")
     other = scored.select(F.col("id").alias("oid"), F.col("alias").alias("longer"), F.col("score").alias("better"))
     inside = (
         (F.col("id") == F.col("oid")) & (F.length("longer") > F.length("alias"))

@@ -130,3 +130,14 @@ def test_blocks_give_the_neighbours_of_brute_force(spark, monkeypatch):
         scores = unit @ unit[q]
         scores[q] = -9
         assert [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == np.argsort(-scores, kind="stable")[:5].tolist()
+
+
+def test_alias_matches_are_those_of_brute_force(spark):
+    from tessella.functions.text import word_similarity_of
+
+    names = [("Robert Warrren", 0.9), ("Warren", 0.5), ("velm press", 1.0), ("Velm", 0.6), ("Press of Velm Ltd", 0.95), ("R", 1.0), ("Robert", None), ("born", 0.3), ("--", 1.0)]
+    questions = ["Where was Robert Warren born?", "Who owns Velm Press?", "R?", "", "Was the velmm presse sold?"]
+    asked = spark.createDataFrame([(q,) for q in questions], "question string")
+    got = {(r.question, r.alias) for r in R.alias_matches(spark.createDataFrame(names, "alias string, confidence double"), asked, 0.45).collect()}
+    want = {(q, a) for q in questions for a, c in names if (c or 0) * word_similarity_of(a.lower(), q.lower()) >= 0.45}
+    assert got == want and ("Where was Robert Warren born?", "Robert Warrren") in got
