@@ -122,11 +122,18 @@ def er_blocking_pairs(spark: SparkSession, d: str) -> DataFrame:
   c(node, root) AS (SELECT u, u FROM ed UNION SELECT ed.v, c.root FROM c JOIN ed ON ed.u = c.node)
   SELECT node, min(root) AS root FROM c GROUP BY node""")
 def er_name_merge_components(spark: SparkSession, d: str) -> DataFrame:
-    """Names alike, through any chain: the cluster of each."""
+    """Names alike, through any chain: the cluster of each; `er_merge_rule_components` has the merge rule."""
     pairs = _alike(spark, d).select(F.concat_ws("|", "kind", "a").alias("a"), F.concat_ws("|", "kind", "b").alias("b"))
     return G.components(pairs)
 
 
+@query()
+def er_merge_rule_components(spark: SparkSession, d: str) -> DataFrame:
+    """Names in documents merged by the rule (0.92; persons by document or neighbour): the entity of each."""
+    found = G.components(R.merge_edges(table(spark, d, "triples")))
+    return found.filter("node like 'n|%'")
+
+
 @query()
 def alias_seeds(spark: SparkSession, d: str) -> DataFrame:
     """Names of all types in the questions: aliases similar to a run of the question; score

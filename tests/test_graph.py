@@ -141,3 +141,37 @@ def test_alias_matches_are_those_of_brute_force(spark):
     got = {(r.question, r.alias) for r in R.alias_matches(spark.createDataFrame(names, "alias string, confidence double"), asked, 0.45).collect()}
     want = {(q, a) for q in questions for a, c in names if (c or 0) * word_similarity_of(a.lower(), q.lower()) >= 0.45}
     assert got == want and ("Where was Robert Warren born?", "Robert Warrren") in got
+
+
+def test_merge_rule_against_all_pairs(spark):
+    from tessella.functions.text import normalized_name_of
+
+    long = "Bartholomew Featherstonehaugh"
+    rows = [
+        (long, "PERSON", "Acme", "ORG", "d1:s:0"), (long, "PERSON", "Acme Inc", "ORG", "d2:s:0"), (long, "PERSON", "Velm", "ORG", "d3:s:0"),
+        (long + "h", "PERSON", "Velm", "ORG", "d4:s:0"), (long + "h", "PERSON", "Rome", "PLACE", "d1:s:1"), (long + "h", "PERSON", "Oslo", "PLACE", "d5:s:0"),
+        (long, "ORG", "Oslo", "PLACE", "d6:s:0"), (long + "h", "ORG", "Rome", "PLACE", "d7:s:0"), ("", "PERSON", "Rome", "PLACE", "d8:s:0"),
+    ]
+    df = spark.createDataFrame(rows, "subject string, subject_type string, object string, object_type string, chunk_id string")
+    got = {r.node: r.root for r in G.components(R.merge_edges(df)).filter("node like 'n|%'").collect()}
+    near: dict = {}
+    for s, st, o, ot, chunk in rows:
+        a, b = (st, normalized_name_of(s)), (ot, normalized_name_of(o))
+        if a[1] and b[1]:
+            near.setdefault((*a, chunk[:2]), set()).add(b)
+            near.setdefault((*b, chunk[:2]), set()).add(a)
+
+    def grams(s):
+        return {f"  {w} "[i : i + 3] for w in s.split() for i in range(len(w) + 1)}
+
+    def merged(a, b):
+        sim = len(grams(a[1]) & grams(b[1])) / len(grams(a[1]) | grams(b[1]))
+        return a[0] == b[0] and sim >= 0.92 and (a[0] != "PERSON" or a[2] == b[2] or bool(near[a] & near[b]))
+
+    root = {n: n for n in near}
+    for _ in near:
+        for a in near:
+            for b in near:
+                if merged(a, b):
+                    root[a] = root[b] = min(root[a], root[b])
+    assert got == {"n|" + "|".join(n): "n|" + "|".join(r) for n, r in root.items()}
