@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from tessella.functions.text import match_form, occurs
 
@@ -29,20 +27,16 @@ def screened(items: DataFrame, text: str = "text", least: float = 0.5, ratio: fl
     """`items` with `reason`, the first that applies: a bad schema, an empty part, a self loop, a
     subject or object that isn't in the passage, low confidence; null for the kept."""
 
-    @F.pandas_udf(BooleanType())
-    def stands(names: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([occurs(n or "", t or "", ratio) for n, t in zip(names, texts)])
-
     i = lambda f: F.col("item").getField(f)
-    bare = lambda f: F.coalesce(match_form(i(f)), F.lit(""))
+    bare = lambda f: match_form(i(f))
     schema = ~i("subject_type").isin(*TYPES) | ~i("object_type").isin(*TYPES) | ~F.coalesce(i("confidence"), F.lit(-1.0)).between(0, 1)
     reason = (
         F.when(F.col("reason").isNotNull(), F.col("reason"))
         .when(F.coalesce(schema, F.lit(True)), "bad_schema")
         .when((bare("subject") == "") | (bare("object") == "") | (F.trim(F.coalesce(i("predicate"), F.lit(""))) == ""), "empty")
         .when(bare("subject") == bare("object"), "self_loop")
-        .when(~stands(i("subject"), F.col(text)), "subject_not_in_source")
-        .when(~stands(i("object"), F.col(text)), "object_not_in_source")
+        .when(~occurs(i("subject"), F.col(text), ratio), "subject_not_in_source")
+        .when(~occurs(i("object"), F.col(text), ratio), "object_not_in_source")
         .when(i("confidence") < least, "low_confidence")
     )
     return items.withColumn("reason", reason)

@@ -55,9 +55,13 @@ def quality_per_cost(stats: DataFrame, floor: float) -> DataFrame:
     return stats.withColumns({"reason": reason, "f1_per_millidollar": F.when(good, F.round(F.col("f1") / F.col("cost_per_query") / 1000, 4))})
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """The smallest value with at least `share` of the values up to it."""
-    return F.percentile_approx(values, F.lit(share), F.lit(1_000_000))
+def nearest_rank(values: str, share: float) -> Column:
+    """The smallest value of a column with at least `share` of its values up to it, exact.
+
+    Values are counted before they are shuffled; a group holds its different values, which whole
+    milliseconds up to a time limit bound.
+    """
+    return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY `{values}`)")
 
 
 def correlation(a: Column, b: Column) -> Column:

@@ -12,6 +12,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.vectors import unit
+
 #: Rows in a block of data and in a block of queries; a task multiplies one by the other.
 DATA_BLOCK, QUERY_BLOCK = 32_768, 4_096
 
@@ -41,6 +43,28 @@ def _best(queries: pd.DataFrame, data: pd.DataFrame, k: int, leave_self: bool) -
     return pd.concat(out)
 
 
+def _against(queries: pd.DataFrame, k: int, leave_self: bool):
+    """Each task's k best rows of the data for each query of the same group."""
+    groups = dict(list(queries.groupby("g", dropna=False)))
+
+    def shortened(found: list[pd.DataFrame]) -> list[pd.DataFrame]:
+        rows = pd.concat(found).sort_values(["query_id", "score", "id"], ascending=[True, False, True])
+        return [rows.groupby("query_id", sort=False).head(k)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[pd.DataFrame] = []
+        for batch in batches:
+            for g, rows in batch.groupby("g", dropna=False):
+                if g in groups:
+                    found.append(_best(groups[g], rows, k, leave_self))
+            if len(found) >= 32:
+                found = shortened(found)
+        if found:
+            yield shortened(found)[0]
+
+    return run
+
+
 def _blocks(df: DataFrame, count: int, size: int) -> int:
     return max(1, math.ceil(count / size))
 
@@ -50,12 +74,19 @@ def exact_topk(
 ) -> DataFrame:
     """(query_id, id, score, rank): each query's k nearest rows, optionally within `by`.
 
-    Blocks of queries meet blocks of data; each meeting is one task of bounded size and leaves at
-    most k rows a query. Rows without a vector are no answers.
+    Up to QUERY_BLOCK queries go to the tasks that read the data, which leave at most k rows a query each, so
+    no vector is shuffled. More queries meet the data in blocks; each meeting is one task of bounded size.
+    Rows without a vector are no answers.
     """
-    group = F.col(by).cast("string") if by else F.lit("")
+    # Null is a group of its own.
+    group = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("")) if by else F.lit("")
     data = data.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), group.alias("g"))
     queries = queries.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("v"), group.alias("g"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    few = queries.limit(QUERY_BLOCK + 1).toPandas()
+    if len(few) <= QUERY_BLOCK:
+        met = data.mapInPandas(_against(few, k, leave_self), "query_id long, id long, score double")
+        return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     d, q = _blocks(data, data.count(), DATA_BLOCK), _blocks(queries, queries.count(), QUERY_BLOCK)
     left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q))).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(d - 1))))
     right = data.withColumn("db", F.pmod(F.xxhash64("id"), F.lit(d))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q - 1))))
@@ -66,13 +97,12 @@ def exact_topk(
 
     keys = ["g", "qb", "db"]
     met = left.withColumns(casts).groupBy(*keys).cogroup(right.withColumns(casts).groupBy(*keys)).applyInPandas(meet, "query_id long, id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def fit_cells(data: DataFrame, vector_col: str, cells: int, sample: int = 20_000, seed: int = 7) -> np.ndarray:
-    """Centres of `cells` cells, fitted on at most about `sample` rows."""
-    rows = data.select(array_to_vector(vector_col).alias("features"))
+    """Centres of `cells` cells of the unit vectors, fitted on at most about `sample` rows."""
+    rows = data.filter(F.col(vector_col).isNotNull()).select(array_to_vector(unit(F.col(vector_col))).alias("features"))
     share = min(1.0, sample / max(1, rows.count()))
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(rows.sample(share, seed) if share < 1 else rows)
     return np.array(model.clusterCenters())

@@ -23,8 +23,8 @@ GOLD = (
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Question records of a JSON array: facts as (title, sent), context as (title, sentences)."""
-    raw = spark.read.schema(RECORD).json(path, multiLine=True)
+    """Question records of a JSON array: facts as (title, sent), context as (title, sentences); `position` is their order."""
+    raw = spark.read.schema(RECORD).json(path, multiLine=True).withColumn("position", F.monotonically_increasing_id())
     facts = F.transform("supporting_facts", lambda f: F.struct(f[0].alias("title"), f[1].cast("int").alias("sent")))
     context = F.transform("context", lambda c: F.struct(c[0].alias("title"), F.from_json(c[1], "array<string>").alias("sentences")))
     return raw.withColumns({"supporting_facts": facts, "context": context})
@@ -54,8 +54,8 @@ def joined_sentences(sentences: Column) -> Column:
 
 def documents_of(records: DataFrame, source: str) -> DataFrame:
     """(doc_ref, source, title, text, sentences): each title once, as its first record has it."""
-    rows = records.select(F.col("_id"), F.posexplode("context").alias("pos", "c")).select("_id", "pos", "c.title", "c.sentences")
-    first = rows.groupBy("title").agg(F.min_by("sentences", F.struct("_id", "pos")).alias("sentences"))
+    rows = records.select("position", F.posexplode("context").alias("pos", "c")).select("position", "pos", "c.title", "c.sentences")
+    first = rows.groupBy("title").agg(F.min_by("sentences", F.struct("position", "pos")).alias("sentences"))
     joined = first.select("title", joined_sentences(F.col("sentences")).alias("j"))
     ref = F.substring(F.sha1(F.concat_ws("|", F.lit(source), "title")), 1, 16)
     return joined.select(ref.alias("doc_ref"), F.lit(source).alias("source"), "title", "j.text", "j.sentences")
@@ -117,8 +117,8 @@ def decoded_vector(text: pd.Series) -> pd.Series:
 
 
 def absent(new: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of `new` whose key isn't stored yet, each key once: what an append may write."""
-    order = Window.partitionBy(*key).orderBy(*(F.hash(c) for c in new.columns))
+    """Rows of `new` whose key isn't stored yet, the smallest row of each key: what an append may write."""
+    order = Window.partitionBy(*key).orderBy(*new.columns)
     once = new.withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
     return once.join(stored.select(*key), key, "left_anti")
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.session import shared_folder
+
 
 def windowed(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(start, event_type, n, total) of a batch or stream of events."""
@@ -20,12 +21,14 @@ def windowed(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -
 
 
 def hourly(spark: SparkSession, path: str) -> DataFrame:
-    """The windows of all events under `path`, streamed until the input is used up.
+    """The windows of the events under `path`, streamed until the input is used up in one batch for a file.
+
+    Where the input comes in several batches, events over two hours behind the watermark are left out.
 
     Each micro-batch writes its changed windows; of each window the last version counts.
     The sink and the progress lie in the shared folder spark.checkpoint.dir.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    base = shared_folder(spark)
     out = f"{base}/ledger-{uuid.uuid4().hex}"
     batch = spark.read.parquet(path)
     naive = dict(batch.dtypes)["ts"] == "timestamp_ntz"

@@ -59,12 +59,12 @@ def test_keyed_appends(spark):
 
 
 def test_extraction_reasons_in_their_order(spark):
-    passage = "Johnny Depp starred in Batman, a film by Tim Burton with Beyoncé."
-    base = {"chunk": 1, "subject": "Tim Burton", "subject_type": "PERSON", "predicate": "made", "object": "Batman", "object_type": "WORK", "evidence": "x", "confidence": 0.9}
+    passage = "Marguerite Halvorsen sang in Tin Harbour, an opera of Osric Penhallow for Zoë."
+    base = {"chunk": 1, "subject": "Osric Penhallow", "subject_type": "PERSON", "predicate": "wrote", "object": "Tin Harbour", "object_type": "WORK", "evidence": "x", "confidence": 0.8}
     cases = [
-        ({}, None), ({"subject": "TIM BURTON"}, None), ({"object": "Beyonce", "object_type": "PERSON"}, None), ({"subject": "Johny Depp"}, None), ({"subject": "Tim Bortin"}, "subject_not_in_source"),
-        ({"object": "Batman Returns Again"}, "object_not_in_source"), ({"subject": " "}, "empty"), ({"object": "..."}, "empty"), ({"predicate": ""}, "empty"), ({"object": "tim burton."}, "self_loop"),
-        ({"confidence": 0.4}, "low_confidence"), ({"subject_type": "ROBOT"}, "bad_schema"), ({"confidence": None}, "bad_schema"),
+        ({}, None), ({"subject": "osric PENHALLOW"}, None), ({"object": "Zoe", "object_type": "PERSON"}, None), ({"subject": "Margerite Halvorsen"}, None), ({"subject": "Osrik Panhollaw"}, "subject_not_in_source"),
+        ({"object": "Copper Harbour at Night"}, "object_not_in_source"), ({"subject": "\t"}, "empty"), ({"object": "--"}, "empty"), ({"predicate": " "}, "empty"), ({"object": "osric penhallow!"}, "self_loop"),
+        ({"confidence": 0.3}, "low_confidence"), ({"subject_type": "RIVER"}, "bad_schema"), ({"confidence": None}, "bad_schema"),
     ]
     rows = [(i, passage, "```json\n" + json.dumps({"triples": [base | change]}) + "\n```") for i, (change, _) in enumerate(cases)] + [(99, passage, "not json"), (98, passage, '<thought>{"a"</thought>{"triples": []}')]
     checked = X.screened(X.parsed(spark.createDataFrame(rows, "id int, text string, reply string")))
@@ -75,8 +75,8 @@ def test_extraction_reasons_in_their_order(spark):
 
 
 def test_evidence_span(spark):
-    df = spark.createDataFrame([("BATMAN", "a Batman film"), ("none", "abc"), ("", "abc")], "e string, t string").select(X.evidence_span("e", "t").alias("s"))
-    assert [(r.s.start, r.s.end) for r in df.collect()] == [(2, 8), (0, 3), (0, 3)]
+    df = spark.createDataFrame([("HARBOUR", "a harbour wall"), ("none", "abc"), ("", "abc")], "e string, t string").select(X.evidence_span("e", "t").alias("s"))
+    assert [(r.s.start, r.s.end) for r in df.collect()] == [(2, 9), (0, 3), (0, 3)]
 
 
 def test_stream_of_the_ledger_equals_the_batch(spark, tmp_path):
