@@ -176,7 +176,9 @@ def _shortened(a: str, b: str, dotted: list[str]) -> bool:
 
 def same_organisation(a: dict, b: dict) -> bool:
     """Whether two organisation names can be one's: the same words, one misspelt, or shortened."""
-    if len(a["words"]) != len(b["words"]) or len(a["words"]) < 2:
+    if len(a["words"]) < 2 or len(b["words"]) < 2:
+        return bool(a["words"]) and a["words"] == b["words"]
+    if len(a["words"]) != len(b["words"]):
         return False
     left, rest, changed = list(b["words"]), [], 0
     for w in a["words"]:
@@ -226,7 +228,7 @@ def lookups(word: str, edits: int = EDITS) -> set[tuple[int, int, str]]:
 
 
 def _keys(kind: str, parsed: dict) -> set[tuple[str, str]]:
-    """(block, word): each long word beside the initials of the others."""
+    """(block, word): each long word beside the initials of the others; all words as one where none is long."""
     words, keys = parsed["words"], set()
     for i, word in enumerate(words):
         if len(word) < EDITS + 1:
@@ -237,6 +239,9 @@ def _keys(kind: str, parsed: dict) -> set[tuple[str, str]]:
         else:
             firsts = {g[0] for w in others for g in _given(w)} or set(parsed["initials"][:1])
             keys |= {("p" + f, word) for f in firsts}
+    whole = "".join(sorted(words))
+    if words and max(map(len, words)) < EDITS + 1 and len(whole) >= EDITS + 1:
+        keys.add(("w" + str(len(words)), whole))
     return keys
 
 

@@ -19,14 +19,20 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.session import cut
 
 #: Weighted share of an evaluation question's word pairs that a training question has at least.
-#: Low, as one misspelt word takes two pairs with it; the words are compared after it.
-CONTAINMENT = 0.15
+#: One misspelt word takes two pairs with it; the words are compared after it.
+CONTAINMENT = 0.3
+#: Lists of up to this many words are also hashed word by word, so that one misspelt word leaves something.
+SHORT = 5
+#: A hash of more classes meets in blocks of about this many.
+HOT = 4_096
+#: What stands where a question should, as folded words.
+PLACEHOLDERS = frozenset("n a|na|null|none|nan|tbd|todo|tba|test|unknown|question|xxx|x".split("|"))
 #: A word is known if at least this share of the classes has it; at most 1/share x the words
 #: of a question are.
 KNOWN_SHARE = 0.002
@@ -195,8 +201,8 @@ def instructions(questions: DataFrame, share: float = 0.05, own: float = 0.9) ->
 def question_words(items: DataFrame, id_col: str = "id", question_col: str = "question", split_col: str = "split", source_col: str = "source") -> DataFrame:
     """(id, split, source, words): train, dev and test questions as content words, in order.
 
-    An id sent twice comes out once for each different question. Questions that are null, blank, a placeholder or of fewer
-    than three content words are left out, as are rows with a null id or another split.
+    An id sent twice comes out once for each different question. Questions that are null, blank, without a word or a
+    placeholder are left out, as are rows with a null id or another split. One of stop words only keeps them all.
     """
     rows = items.select(
         F.col(id_col).cast("string").alias("id"), F.lower(F.trim(F.col(split_col))).alias("split"),
@@ -212,7 +218,9 @@ def question_words(items: DataFrame, id_col: str = "id", question_col: str = "qu
     rest = F.expr("slice(words, coalesce(cut, 0) + 1, greatest(size(words), 1))")
     plain = F.transform(rest, lambda w: F.coalesce(F.try_element_at(alike, w), w))
     content = F.filter(plain, lambda w: ~w.isin(*sorted(STOP)))
-    return stripped.select("id", "split", "source", content.alias("words")).filter(F.size("words") >= 3)
+    content = F.when(F.size(content) > 0, content).otherwise(plain)
+    real = (F.size("words") > 0) & ~F.array_join("words", " ").isin(*sorted(PLACEHOLDERS))
+    return stripped.filter(real).select("id", "split", "source", content.alias("words"))
 
 
 def question_classes(questions: DataFrame) -> DataFrame:
@@ -231,37 +239,48 @@ def known_words(classes: DataFrame, share: float = KNOWN_SHARE) -> frozenset[str
     return frozenset(r.w for r in words.filter(F.col("count") >= max(5, share * total)).select("w").collect())
 
 
-def candidate_pairs(classes: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """(e, t): evaluation and training classes that share a rare enough word pair.
+def grams_of(words: Column) -> Column:
+    """The hashes of neighbouring words; lists of up to SHORT words also have those of single words."""
+    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, 2), " "))))
+    single = F.when(F.size(words) <= SHORT, F.transform(words, lambda w: F.xxhash64(w)))
+    none = F.expr("cast(array() as array<long>)")
+    return F.array_distinct(F.concat(F.coalesce(pairs, none), F.coalesce(single, none)))
 
-    Containment is that of the word pairs that any training class has: one that none has (a
-    misspelling, mostly) can't be shared and doesn't count. With the pairs of an evaluation class in the order of falling weight, a training class that
-    has `containment` of its weight shares one of those before which at least
-    1 - containment of it is still to come; only these are looked up, without any cap. Where a
-    frequent word pair brings many together, those that don't share half of their words go
-    at once, inside the join. Questions with different numbers are different, so only those
-    with the same numbers meet.
+
+def candidate_pairs(classes: DataFrame, containment: float = CONTAINMENT, hot: int = HOT) -> DataFrame:
+    """(e, t, weight): evaluation and training classes and the weighted containment of e in t.
+
+    All pairs of different classes whose containment is at least `containment`, and no others. Containment is
+    that of the hashes that any training class has: one that none has (a misspelling, mostly) can't be shared
+    and doesn't count. With the hashes of an evaluation class in the order of falling weight, a training class
+    that has `containment` of its weight shares one of those before which at least 1 - containment of it is
+    still to come; only these are looked up. The containment is worked out where the two meet, at the
+    first hash they share, so nothing is shuffled again. Hashes of more than `hot` classes meet in blocks
+    of both sides. Questions with different numbers are different, so only those with the same numbers meet.
     """
-    grams = F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.xxhash64(F.array_join(F.slice("words", i, 2), " ")))
-    )
-    marks = F.array_distinct(F.transform("words", lambda w: F.hash(w))).alias("marks")
     numbers = F.array_join(F.array_sort(F.filter("words", lambda w: w.rlike(r"^\p{Nd}+$"))), " ").alias("numbers")
-    rows = classes.select("key", "train", "held", marks, numbers, F.explode(grams).alias("gram"))
-    weights = rows.groupBy("gram").agg(F.count("*").alias("df"), F.max("held").alias("held"), F.max("train").alias("trained"))
+    rows = classes.select("key", "train", "held", numbers, grams_of(F.col("words")).alias("grams"))
+    flat = rows.select("key", "train", "held", "numbers", F.explode("grams").alias("gram"))
+    weights = flat.groupBy("gram").agg(F.count("*").alias("df"), F.max("held").alias("held"), F.max("train").alias("trained"))
     weights = weights.filter("held = 1 and trained = 1").select("gram", "df")
-    held = rows.filter("held = 1").select(F.col("key").alias("e"), F.col("marks").alias("em"), "numbers", "gram").join(weights, "gram")
     total = F.lit(classes.count() + 1.0)
-    held = held.withColumn("weight", F.pow(F.log(total / F.col("df")) + 0.01, F.lit(4.0)))
-    falling = Window.partitionBy("e").orderBy(F.col("df"), "gram")
-    whole = Window.partitionBy("e")
-    held = held.withColumns({"upto": F.sum("weight").over(falling), "all": F.sum("weight").over(whole)})
-    first = held.filter((F.col("upto") - F.col("weight") < (1 - containment) * F.col("all")))
-    trained = rows.filter("train = 1").select(F.col("key").alias("t"), F.col("marks").alias("tm"), "numbers", "gram")
-    met = first.select("e", "em", "numbers", "gram").join(trained, ["gram", "numbers"])
-    # Half of the words, misspelt ones being left to the comparison.
-    enough = 2 * F.size(F.array_intersect("em", "tm")) >= F.least(F.size("em"), F.size("tm")) - 1
-    return met.filter(enough).select("e", "t").distinct()
+    blocks = F.ceil(F.col("df") / hot).cast("int")
+    weighed = flat.filter("held = 1").join(weights, "gram").withColumn("weight", F.pow(F.log(total / F.col("df")) + 0.01, F.lit(4.0)))
+    # A question's hashes are few: its words.
+    lists = weighed.groupBy(F.col("key").alias("e"), "numbers").agg(F.array_sort(F.collect_list(F.struct("df", "gram", "weight"))).alias("own"))
+    lists = lists.withColumn("all", F.aggregate("own", F.lit(0.0), lambda s, x: s + x["weight"]))
+    placed = lists.select("*", F.posexplode("own").alias("pos", "x")).select("*", "x.gram", "x.df")
+    before = F.aggregate(F.slice("own", 1, F.col("pos")), F.lit(0.0), lambda s, x: s + x["weight"])
+    first = placed.filter(before < (1 - containment + 1e-9) * F.col("all"))
+    first = first.withColumn("i", F.pmod(F.xxhash64("e"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    first = first.select("e", "numbers", "own", "all", "pos", "gram", "i", "j")
+    trained = flat.filter("train = 1").join(weights, "gram").join(rows.filter("train = 1").select("key", "grams"), "key")
+    trained = trained.withColumn("j", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    trained = trained.select(F.col("key").alias("t"), "numbers", "grams", "gram", "i", "j")
+    met = first.join(trained, ["gram", "numbers", "i", "j"]).filter("e <> t")
+    earlier = F.exists(F.slice("own", 1, F.col("pos")), lambda x: F.array_contains("grams", x["gram"]))
+    shared = F.aggregate("own", F.lit(0.0), lambda s, x: s + F.when(F.array_contains("grams", x["gram"]), x["weight"]).otherwise(0.0))
+    return met.filter(~earlier).withColumn("weight", shared / F.col("all")).filter(F.col("weight") >= containment).select("e", "t", "weight")
 
 
 def overlapping_classes(classes: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
@@ -272,7 +291,6 @@ def overlapping_classes(classes: DataFrame, containment: float = CONTAINMENT) ->
         candidate_pairs(classes, containment)
         .join(words.withColumnsRenamed({"key": "e", "words": "ew"}), "e")
         .join(words.withColumnsRenamed({"key": "t", "words": "tw"}), "t")
-        .withColumn("contained", F.size(F.array_intersect("ew", "tw")) / F.size(F.array_distinct("ew")))
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,7 +298,9 @@ def overlapping_classes(classes: DataFrame, containment: float = CONTAINMENT) ->
             same = [same_question(list(a), list(b), known) for a, b in zip(batch["ew"], batch["tw"])]
             yield batch.loc[same, ["e", "t", "contained"]]
 
-    return pairs.select("e", "t", "contained", "ew", "tw").mapInPandas(run, "e long, t long, contained double")
+    near = pairs.select("e", "t", F.col("weight").alias("contained"), "ew", "tw").mapInPandas(run, "e long, t long, contained double")
+    equal = classes.filter("held = 1 and train = 1").select(F.col("key").alias("e"), F.col("key").alias("t"), F.lit(1.0).alias("contained"))
+    return near.unionByName(equal)
 
 
 def cross_split_pairs(items: DataFrame, **columns: str) -> DataFrame:

@@ -62,18 +62,16 @@ def growing_sample(
     placed = ids.withColumn("bucket", bucket_of(F.col("id"))).join(
         F.broadcast(bucket_order(items.sparkSession, seed)), "bucket"  # 65,536 rows always
     )
-    # Ids by split, load and place: at most splits x loads x 65,536 rows, however many ids.
+    # Ids by split, load and place: at most splits x loads x 65,536 rows, however many ids. More ids never move
+    # the place of the `least`-th one back, so of all loads the first that has enough ids calls for most.
     counts = placed.filter("split != ''").groupBy("split", F.col("assigned_load").alias("load"), "place").agg(F.count("*").alias("n"))
-    loads = counts.select(F.col("load").alias("as_of")).distinct()
-    seen = counts.join(F.broadcast(loads), F.col("load") <= F.col("as_of")).groupBy("split", "as_of", "place").agg(F.sum("n").alias("n"))
-    along = Window.partitionBy("split", "as_of").orderBy("place")
-    whole = Window.partitionBy("split", "as_of")
-    reached = seen.withColumns({
-        "before": F.sum("n").over(along) - F.col("n"),
-        "all": F.sum("n").over(whole),
-    })
-    called = reached.filter((F.col("before") < least) & (F.col("all") >= 10 * least))
-    needed = called.agg(F.max("place").alias("needed"))
+    so_far = Window.partitionBy("split").orderBy("load")
+    totals = counts.groupBy("split", "load").agg(F.sum("n").alias("n")).withColumn("all", F.sum("n").over(so_far))
+    first = totals.filter(F.col("all") >= 10 * least).groupBy("split").agg(F.min("load").alias("as_of"))
+    seen = counts.join(first, "split").filter("load <= as_of").groupBy("split", "place").agg(F.sum("n").alias("n"))
+    along = Window.partitionBy("split").orderBy("place")
+    before = F.sum("n").over(along) - F.col("n")
+    needed = seen.withColumn("before", before).filter(F.col("before") < least).agg(F.max("place").alias("needed"))
     length = F.greatest(F.coalesce("needed", F.lit(0)), F.lit(int(round(rate * BUCKETS))))
     return (
         placed.crossJoin(F.broadcast(needed.select(length.alias("listed"))))  # one row

@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from tessella.session import cut
 
-#: A language has its own model if this share of the distinct texts (and 20) is in it.
-LANGUAGE_SHARE = 0.03
+#: A language has its own model if so many distinct texts are in it; texts in others are read with the model whose
+#: frequent words they have.
+LANGUAGE_TEXTS = 20
 #: Words of more than FREQUENT of a language's texts are no terms unless their texts are an area's (OWN); nor
 #: are words of fewer than RARE (and 4).
 FREQUENT, RARE = 0.13, 0.0006
@@ -166,8 +167,7 @@ def vocabulary(slim: DataFrame, frequent: float, labels: DataFrame, names: list[
     sizes = {r.lang: r.n for r in counts.filter("item = 'n:'").collect()}  # one row for each language
     total = sum(sizes.values())
     v = Vocabulary(stock_least=max(5, STOCK * total))
-    known = sum(n for x, n in sizes.items() if x)
-    v.langs = sorted(x for x, n in sizes.items() if x and n >= max(20, LANGUAGE_SHARE * known))
+    v.langs = sorted(x for x, n in sizes.items() if x and n >= LANGUAGE_TEXTS)
     phrases = counts.filter("item like 's:%'").groupBy("item").agg(F.sum("n").alias("n")).filter(F.col("n") >= v.stock_least)
     v.stock = {x: i for i, x in enumerate(sorted(r.item[2:] for r in phrases.select("item").collect()))}
     least = F.create_map(*(F.lit(x) for la in v.langs for x in (la, float(max(4, RARE * sizes[la]))))) if v.langs else None

@@ -27,6 +27,11 @@ def test_initials_of_two_persons_are_left_alone(spark):
     assert _found(spark, rows) == {("Emil F. Kelvostin", "Emil Kelvostin")}
 
 
+def test_names_of_short_words_and_of_one_word(spark):
+    rows = [(n, "PERSON", "X of 1990", "EVENT") for n in ("Bo Xu", "Xu, Bo", "bo xu ", "Li Bo")] + [(n, "ORG", "X of 1990", "EVENT") for n in ("Quillmar", "QUILLMAR ", "Ardabrook")]
+    assert _found(spark, rows) == {*itertools.combinations(sorted(["Bo Xu", "Xu, Bo", "bo xu "]), 2), ("QUILLMAR ", "Quillmar")}
+
+
 def test_nulls_blanks_other_kinds_and_no_rows(spark):
     rows = [(None, None, "", "PERSON"), ("unknown", "PERSON", "Unknown", "PERSON"), ("they", "ORG", "  ", None), ("Velm Fair", "EVENT", "VELM FAIR", "EVENT"), ("Solo Name", "PERSON", "Solo Name", "PERSON")]
     assert _found(spark, rows) == set()

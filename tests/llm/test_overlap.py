@@ -74,3 +74,33 @@ def test_an_instruction_of_one_source_is_found(spark):
     rows += [(f"j{k}", f"Which river crosses town number{k} near place{k}?", "dev", "y", 1) for k in range(60)]
     words = {tuple(r.words) for r in O.question_words(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert len(words) == 60
+
+
+def test_short_questions_and_their_copies(spark):
+    rows = [("a", "Who was Lincoln?", "train"), ("b", "who was lincoln", "dev"), ("c", "What is it?", "train"), ("d", "What is it ?", "test"), ("e", "N/A", "train"), ("f", "n/a", "dev")]
+    rows += [("g", "Who composed Velmora?", "train"), ("h", "Who composed Velmora??", "test"), ("i", "Who composed Tarnquist?", "dev")]
+    got = {(r.id_a, r.id_b) for r in O.found(spark.createDataFrame([(i, q, s, "x", 1) for i, q, s in rows], SCHEMA)).collect()}
+    assert got == {("a", "b"), ("c", "d"), ("g", "h")}
+
+
+def test_containment_is_that_of_all_pairs_whatever_the_blocks(spark):
+    import math
+
+    classes = O.question_classes(O.question_words(spark.createDataFrame(_rows(), SCHEMA)))
+    rows = classes.withColumn("grams", O.grams_of(classes["words"])).collect()
+    counts, trained = {}, {g for r in rows if r.train for g in r.grams}
+    for r in rows:
+        for g in r.grams:
+            counts[g] = counts.get(g, 0) + 1
+    weight = {g: (math.log((len(rows) + 1) / n) + 0.01) ** 4 for g, n in counts.items()}
+    digits = {r.key: sorted(w for w in r.words if w.isdigit()) for r in rows}
+    want = {}
+    for e in (r for r in rows if r.held):
+        own = [g for g in e.grams if g in trained]
+        for t in (r for r in rows if r.train and r.key != e.key and digits[r.key] == digits[e.key]):
+            share = sum(weight[g] for g in own if g in t.grams) / sum(weight[g] for g in own) if own else 0
+            if share >= O.CONTAINMENT:
+                want[e.key, t.key] = round(share, 9)
+    for hot in (3, O.HOT):
+        got = O.candidate_pairs(classes, hot=hot).collect()
+        assert len(got) == len(want) and {(r.e, r.t): round(r.weight, 9) for r in got} == want
