@@ -20,3 +20,10 @@ def unit(v: Column) -> Column:
     """The vector at length one; a zero vector stays zero."""
     length = norm(v)
     return F.transform(v, lambda x: x.cast("double") / F.when(length == 0, 1.0).otherwise(length))
+
+
+def softmax(v: Column) -> Column:
+    """Shares by exponentials, shifted by the largest so that none overflows."""
+    raised = F.transform(v, lambda x: F.exp(x.cast("double") - F.array_max(v).cast("double")))
+    total = F.aggregate(raised, F.lit(0.0), lambda s, x: s + x)
+    return F.transform(raised, lambda x: x / total)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.text import match_form, normalized_name, snake_case
 from tessella.session import cut
 
 
 def entity_id(kind: Column, name: Column) -> Column:
-    key = F.concat_ws("|", F.upper(F.trim(kind)), F.lower(F.trim(name)))
+    """An entity's id by its type and normalized name: spellings that differ in form only are one node."""
+    key = F.concat_ws("|", F.upper(F.trim(kind)), normalized_name(name))
     return F.concat(F.lit("e_"), F.substring(F.sha1(key), 1, 12))
 
 
@@ -17,10 +19,11 @@ def relations(triples: DataFrame) -> DataFrame:
     """(rel_id, subject_id, predicate, object_id, chunk_id, confidence, ...) of usable triples.
 
     Rows sent twice count once, a relation that several rows state keeps the most confident;
-    self loops and rows without a name or type are left out. A null confidence counts as 0.
+    self loops and rows without a type or a name of letters or digits are left out. A null confidence counts as 0.
     """
-    rows = triples.filter("trim(subject) <> '' and trim(object) <> '' and subject_type is not null and object_type is not null")
-    predicate = F.regexp_replace(F.lower(F.trim("predicate")), "[^a-z0-9]+", "_")
+    rows = triples.filter("subject_type is not null and object_type is not null")
+    rows = rows.filter((match_form(F.col("subject")) != "") & (match_form(F.col("object")) != ""))
+    predicate = snake_case(F.col("predicate"))
     rows = rows.select(
         entity_id(F.col("subject_type"), F.col("subject")).alias("subject_id"), predicate.alias("predicate"),
         entity_id(F.col("object_type"), F.col("object")).alias("object_id"), "chunk_id", "triple_id", "evidence_start", "evidence_end",

@@ -10,11 +10,15 @@ from tessella.operators import resolve as R
 from tessella.plans.registry import query
 from tessella.session import table
 
-_ID = "'e_' || substr(sha1(upper(trim({0}_type)) || '|' || lower(trim({0}))), 1, 12)"
-_REL = f"""WITH t AS (SELECT {_ID.format('subject')} AS subject_id, {_ID.format('object')} AS object_id,
-    regexp_replace(lower(trim(predicate)), '[^a-z0-9]+', '_', 'g') AS predicate, chunk_id, triple_id, evidence_start, evidence_end,
-    coalesce(confidence, 0) AS confidence FROM triples
-    WHERE trim(subject) <> '' AND trim(object) <> '' AND subject_type IS NOT NULL AND object_type IS NOT NULL),
+_ID = "'e_' || substr(sha1(upper(trim({0}_type)) || '|' || {1}.norm), 1, 12)"
+_NAMES = r"""WITH nf AS (SELECT name, string_split(trim(regexp_replace(strip_accents(lower(regexp_replace(replace(name, '&', ' and '), '[''’]s\b|[''’]', '', 'g'))), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w
+    FROM (SELECT subject AS name FROM triples UNION SELECT object FROM triples) WHERE name IS NOT NULL),
+  nj AS (SELECT name, array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i = 1 OR length(w[i]) = 1 AND length(w[i - 1]) = 1 THEN w[i] ELSE ' ' || w[i] END), '') AS j FROM nf),
+  nn AS (SELECT name, regexp_replace(regexp_replace(j, '^(.+?)(?: (?:inc|incorporated|corp|corporation|co|company|ltd|limited|llc|plc))+$', '\1'), '^the (.+)$', '\1') AS norm FROM nj WHERE j <> '')"""
+_REL = _NAMES + f""", t AS (SELECT {_ID.format('subject', 's')} AS subject_id, {_ID.format('object', 'o')} AS object_id,
+    trim(regexp_replace(lower(predicate), '[^a-z0-9]+', '_', 'g'), '_') AS predicate, chunk_id, triple_id, evidence_start, evidence_end,
+    coalesce(confidence, 0) AS confidence FROM triples JOIN nn s ON s.name = subject JOIN nn o ON o.name = object
+    WHERE subject_type IS NOT NULL AND object_type IS NOT NULL),
   u AS (SELECT *, substr(sha1(subject_id || '|' || predicate || '|' || object_id || '|' || chunk_id), 1, 16) AS rel_id FROM t WHERE subject_id <> object_id),
   rel AS (SELECT * EXCLUDE (p) FROM (SELECT *, row_number() OVER (PARTITION BY rel_id ORDER BY confidence DESC, triple_id) AS p FROM u) WHERE p = 1)"""
 _BFS = _REL + """, e AS (SELECT subject_id AS node, object_id AS other, rel_id, chunk_id, confidence * 0.5 AS s FROM rel

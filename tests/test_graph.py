@@ -189,3 +189,12 @@ def test_few_queries_go_to_the_data(spark):
         assert [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == np.argsort(-scores, kind="stable")[:4].tolist()
     assert [r.id for r in sorted((r for r in got if r.query_id == 902), key=lambda r: r.rank)] == [900, 901]
     assert S.exact_topk(df.filter("false"), df, 3).count() == 0
+
+
+def test_spellings_of_one_form_are_one_node(spark):
+    rows = [(1, "Q. X. Marl", "The Quillmar Co."), (2, "QX MARL", "quillmar"), (3, "--", "quillmar"), (4, None, "quillmar"), (5, "Quillmar Inc", "QUILLMAR")]
+    df = spark.createDataFrame(rows, "triple_id long, subject string, object string").selectExpr(
+        "*", "'PERSON' as subject_type", "if(triple_id = 5, 'PERSON', 'ORG') as object_type", "'_Works for_' as predicate", "'d:s:0' as chunk_id", "0 as evidence_start", "1 as evidence_end", "0.5 as confidence"
+    )
+    got = G.relations(df).collect()
+    assert [(r.triple_id, r.predicate) for r in got] == [(1, "works_for")]
