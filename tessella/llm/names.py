@@ -201,32 +201,6 @@ def same_organisation(a: dict, b: dict) -> bool:
     return changed <= 1
 
 
-def segments(word: str, edits: int = EDITS) -> list[tuple[int, str]]:
-    """(start, segment): the word in edits + 1 parts of nearly equal length."""
-    base, more = divmod(len(word), edits + 1)
-    at, out = 0, []
-    for i in range(edits + 1):
-        size = base + (i >= edits + 1 - more)
-        out.append((at, word[at : at + size]))
-        at += size
-    return out
-
-
-def lookups(word: str, edits: int = EDITS) -> set[tuple[int, int, str]]:
-    """(length, number, substring): where `word` looks for words of its length or shorter."""
-    out = set()
-    for length in range(max(edits + 1, len(word) - edits), len(word) + 1):
-        base, more = divmod(length, edits + 1)
-        at = 0
-        for i in range(edits + 1):
-            size = base + (i >= edits + 1 - more)
-            shift = len(word) - length
-            for start in range(max(0, at - edits), min(len(word) - size, at + edits + shift) + 1):
-                out.add((length, i, word[start : start + size]))
-            at += size
-    return out
-
-
 def _keys(kind: str, parsed: dict) -> set[tuple[str, str]]:
     """(block, word): each long word beside the initials of the others; all words as one where none is long."""
     words, keys = parsed["words"], set()
@@ -246,19 +220,28 @@ def _keys(kind: str, parsed: dict) -> set[tuple[str, str]]:
 
 
 _PARSE = {"PERSON": person, "ORG": organisation}
-_ENTRY = "name string, kind string, block string, word string, role string, length int, part int, piece string"
+_PARSED = (
+    "name string, given string, kind string, form string, written boolean, keys array<struct<block: string, word: string>>, "
+    "words array<string>, letters string, acronym boolean"
+)
 
 
-def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Index entries (role i) and look-ups (role q) of each name."""
+def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row of each name and kind it may be of: all that later steps need, so that no name is parsed again but to compare."""
     for batch in batches:
         rows = []
-        for name, kind in zip(batch["name"], batch["kind"]):
-            for k in ("PERSON", "ORG") if kind == "ANY" else (kind,):
-                for block, word in _keys(k, _PARSE[k](name)):
-                    rows += [(name, k, block, word, "i", len(word), n, s) for n, (_, s) in enumerate(segments(word))]
-                    rows += [(name, k, block, word, "q", length, n, s) for length, n, s in lookups(word)]
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _ENTRY.split(", ")])
+        for name, given in zip(batch["name"], batch["kind"]):
+            for kind in ("PERSON", "ORG") if given == "ANY" else (given,):
+                p = _PARSE[kind](name)
+                form = "|".join([" ".join(p["words"]), " ".join(p["initials"]), " ".join(p["short"])])
+                letters = p["nick"][0] if p["nick"] else "".join(w[0] for w in p["words"]) if len(p["words"]) >= 3 else None
+                keys = [{"block": block, "word": word} for block, word in sorted(_keys(kind, p))]
+                single = kind == "ORG" or len(p["words"]) != 1 or not p["initials"]
+                rows.append((
+                    name, given, kind, form, kind == "ORG" or len(p["words"]) >= 2, keys, sorted(set(p["words"])) if single else [],
+                    letters if kind == "ORG" else None, bool(p["nick"]),
+                ))
+        yield pd.DataFrame(rows, columns=["name", "given", "kind", "form", "written", "keys", "words", "letters", "acronym"])
 
 
 def names_of(triples: DataFrame) -> DataFrame:
@@ -289,100 +272,104 @@ def names_of(triples: DataFrame) -> DataFrame:
     return counts.select("name", most.alias("kind")).filter("kind is not null").mapInPandas(kept, "name string, kind string")
 
 
+def _forms(parsed: DataFrame) -> DataFrame:
+    """(kind, form, rep, keys): each way a name parses, once, with its smallest spelling."""
+    keyed = parsed.filter(F.size("keys") > 0)
+    return keyed.groupBy("kind", "form").agg(F.min("name").alias("rep"), F.any_value("keys").alias("keys"))
+
+
+def near_words(words: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(kind, block, aw, bw): words of one block within `edits` of each other, aw no longer than bw.
+
+    aw is cut into edits + 1 segments of nearly equal length. If i segments before one have an edit
+    each at most, that one has moved by i at most, and likewise counted from the end; so bw
+    looks each segment up at few positions, and still no word within reach is missed.
+    """
+    n = F.char_length("word")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("part")
+    base, longer = F.expr(f"length div {edits + 1}"), F.lit(edits + 1) - F.col("length") % (edits + 1)
+    size = base + (F.col("part") >= longer).cast("int")
+    at = F.col("part") * base + F.greatest(F.lit(0), F.col("part") - longer)
+    index = words.select("kind", "block", "word", n.alias("length"), parts)
+    index = index.select("kind", "block", "length", "part", F.substring("word", at + 1, size).alias("piece"), F.col("word").alias("aw"))
+    asked = words.select("kind", "block", "word", n.alias("n"), F.explode(F.sequence(F.greatest(n - edits, F.lit(edits + 1)), n)).alias("length"))
+    asked = asked.select("*", parts).select("*", at.alias("at"), size.alias("size"), (F.col("n") - F.col("length")).alias("more"))
+    before, after = F.col("part"), F.lit(edits) - F.col("part")
+    low = F.greatest(F.lit(0), F.col("at") - before, F.col("at") + F.col("more") - after)
+    high = F.least(F.col("n") - F.col("size"), F.col("at") + before, F.col("at") + F.col("more") + after)
+    asked = asked.select("*", low.alias("low"), high.alias("high")).filter("low <= high").select("*", F.explode(F.sequence("low", "high")).alias("start"))
+    asked = asked.select("kind", "block", "length", "part", F.substring("word", F.col("start") + 1, F.col("size")).alias("piece"), F.col("word").alias("bw"))
+    met = index.join(asked, ["kind", "block", "length", "part", "piece"]).filter(F.levenshtein("aw", "bw", edits) >= 0)
+    return met.select("kind", "block", "aw", "bw").distinct()
+
+
+def _met(forms: DataFrame) -> DataFrame:
+    """(a, b, kind): spellings of two forms with a key word within EDITS edits and the same other initials."""
+    keyed = forms.select("kind", "rep", F.inline("keys"))
+    near_by = near_words(keyed.select("kind", "block", "word").distinct())
+    one = keyed.select("kind", "block", F.col("word").alias("aw"), F.col("rep").alias("x"))
+    two = keyed.select("kind", "block", F.col("word").alias("bw"), F.col("rep").alias("y"))
+    met = near_by.join(one, ["kind", "block", "aw"]).join(two, ["kind", "block", "bw"]).filter("x <> y and (aw <> bw or x < y)")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "kind").distinct()
+
+
 def candidate_names(names: DataFrame) -> DataFrame:
-    """(a, b, kind): names with a key word within EDITS edits and the same other initials."""
-    entries = names.mapInPandas(_entries, _ENTRY)
-    place = ["kind", "block", "length", "part", "piece"]
-    index = entries.filter("role = 'i'").select(*place, F.col("name").alias("a"), F.col("word").alias("aw"))
-    queries = entries.filter("role = 'q'").select(*place, F.col("name").alias("b"), F.col("word").alias("bw"))
-    met = index.join(queries, place).filter("a <> b").filter(F.levenshtein("aw", "bw", EDITS) >= 0)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "kind").distinct()
+    """(a, b, kind): `names` (name, kind) that may be one's; names that parse alike are met by the smallest of them."""
+    return _met(_forms(names.mapInPandas(_parsed, _PARSED)))
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keeps the pairs that can be one's; full: both are written out."""
+    """Keeps the pairs that can be one's; a_full, b_full: that name is written out."""
     for batch in batches:
-        keep, full = [], []
+        keep, a_full, b_full = [], [], []
         for a, b, kind in zip(batch["a"], batch["b"], batch["kind"]):
             x, y = _PARSE[kind](a), _PARSE[kind](b)
             keep.append(same_person(x, y) if kind == "PERSON" else same_organisation(x, y))
-            full.append(kind == "ORG" or min(len(x["words"]), len(y["words"])) >= 2)
-        yield batch.assign(full=full)[keep]
-
-
-def _acronyms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for name, kind in zip(batch["name"], batch["kind"]):
-            if kind == "PERSON":
-                continue
-            parsed = organisation(name)
-            if parsed["nick"]:
-                rows.append((name, parsed["nick"][0], "short"))
-            elif len(parsed["words"]) >= 3:
-                rows.append((name, "".join(w[0] for w in parsed["words"]), "long"))
-        yield pd.DataFrame(rows, columns=["name", "letters", "role"])
-
-
-def _single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Persons named by one word (short), and the words of those written out (long)."""
-    for batch in batches:
-        rows = []
-        for name, kind in zip(batch["name"], batch["kind"]):
-            parsed = person(name)
-            if kind != "PERSON" or not parsed["words"]:
-                continue
-            if len(parsed["words"]) >= 2:
-                rows += [(name, w, "long") for w in set(parsed["words"])]
-            elif not parsed["initials"]:
-                rows.append((name, parsed["words"][0], "short"))
-        yield pd.DataFrame(rows, columns=["name", "word", "role"])
+            a_full.append(kind == "ORG" or len(x["words"]) >= 2)
+            b_full.append(kind == "ORG" or len(y["words"]) >= 2)
+        yield batch.assign(a_full=a_full, b_full=b_full)[keep]
 
 
 def linked_names(triples: DataFrame) -> DataFrame:
     """(name, entity): the names of which another spelling stands in `triples`, and their entity.
 
-    The entity is the smallest of the written-out spellings. Forms with initials or one
+    The entity is the smallest of its spellings. Forms with initials or one
     word only, and acronyms, join an entity if it is the only one they can stand for; initials-only forms that can
     stand for none are linked among themselves. Names without another spelling are left out.
     """
-    names = cut(names_of(triples))
-    pairs = cut(candidate_names(names).mapInPandas(_compare, "a string, b string, kind string, full boolean"))
-    entities = cut(components(pairs.filter("full")))
-    # Every written-out name is an entity, if only of itself.
-    entity = lambda c: F.coalesce(F.col("root"), F.col(c))
-
-    mixed = pairs.filter("not full").select("a", "b").unionByName(
-        pairs.filter("not full").select(F.col("b").alias("a"), F.col("a").alias("b"))
-    )
-
-    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(full=[len(person(b)["words"]) >= 2 and len(person(a)["words"]) < 2 for a, b in zip(batch["a"], batch["b"])])
-
-    sides = mixed.mapInPandas(written, "a string, b string, full boolean")
-    alone = names.mapInPandas(_single, "name string, word string, role string")
-    only = alone.filter("role = 'short'").select(F.col("name").alias("a"), "word")
-    among = alone.filter("role = 'long'").select(F.col("name").alias("b"), "word")
-    made = names.mapInPandas(_acronyms, "name string, letters string, role string")
-    shorts = made.filter("role = 'short'").select(F.col("name").alias("a"), "letters")
-    longs = made.filter("role = 'long'").select(F.col("name").alias("b"), "letters")
-    stands = (
-        sides.filter("full").select("a", "b")
-        .unionByName(shorts.join(longs, "letters").select("a", "b"))
-        .unionByName(only.join(among, "word").select("a", "b"))
-    )
-    one = (
-        stands.join(entities, stands["b"] == entities["node"], "left")
-        .groupBy("a").agg(F.min(entity("b")).alias("entity"), F.max(entity("b")).alias("other"))
-        .filter("entity = other").select("a", F.col("entity").alias("b"))
+    parsed = cut(names_of(triples).mapInPandas(_parsed, _PARSED))
+    forms = _forms(parsed)
+    members = cut(parsed.join(forms.select("kind", "form", "rep"), ["kind", "form"]).select("rep", "name", "written"))
+    pairs = cut(_met(forms).mapInPandas(_compare, "a string, b string, kind string, a_full boolean, b_full boolean"))
+    alike = members.filter("rep <> name").select(F.col("rep").alias("a"), F.col("name").alias("b"), "written")
+    entities = cut(components(pairs.filter("a_full and b_full").select("a", "b").unionByName(alike.filter("written").select("a", "b"))))
+
+    def ends(standing: DataFrame, by: str) -> DataFrame:
+        """The least and the greatest entity that each value of `by` can stand for; a name of no entity is its own."""
+        entity = F.coalesce("root", "b")
+        return standing.join(entities, standing["b"] == entities["node"], "left").groupBy(by).agg(F.min(entity).alias("low"), F.max(entity).alias("high"))
+
+    bare = pairs.filter("a_full and not b_full").select(F.col("b").alias("rep"), F.col("a").alias("b")).unionByName(
+        pairs.filter("b_full and not a_full").select(F.col("a").alias("rep"), "b")
     )
-    open_ends = sides.filter("not full").select("a", "b")
-    rest = open_ends.join(stands.select("a").distinct(), "a", "left_anti").join(
-        stands.select(F.col("a").alias("b")).distinct(), "b", "left_anti"
+    letters = parsed.filter("given <> 'PERSON' and letters is not null").select("name", "letters", "acronym")
+    shorts = letters.filter("acronym").select(F.col("name").alias("a"), "letters")
+    longs = letters.filter("not acronym").select(F.col("name").alias("b"), "letters")
+    persons = parsed.filter("given = 'PERSON'").select("name", "words", "written")
+    only = persons.filter("not written and size(words) = 1").select(F.col("name").alias("a"), F.col("words")[0].alias("word"))
+    among = persons.filter("written").select(F.col("name").alias("b"), F.explode("words").alias("word"))
+    stands = cut(
+        ends(bare, "rep").join(members.filter("not written"), "rep").select(F.col("name").alias("a"), "low", "high")
+        .unionByName(shorts.join(ends(longs, "letters"), "letters").select("a", "low", "high"))
+        .unionByName(only.join(ends(among, "word"), "word").select("a", "low", "high"))
+        .groupBy("a").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     )
+    one = stands.filter("low = high").select("a", F.col("low").alias("b"))
+    open_ends = pairs.filter("not a_full and not b_full").select("a", "b").unionByName(alike.filter("not written").select("a", "b"))
+    rest = open_ends.join(stands.select("a"), "a", "left_anti").join(stands.select(F.col("a").alias("b")), "b", "left_anti")
     same_letters = shorts.groupBy("letters").agg(F.min("a").alias("b")).join(shorts, "letters").filter("a <> b").select("a", "b")
-    all_edges = pairs.filter("full").select("a", "b").unionByName(one).unionByName(rest.select("a", "b")).unionByName(same_letters)
+    known = entities.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    all_edges = known.unionByName(one).unionByName(rest.select("a", "b")).unionByName(same_letters)
     return components(all_edges).select(F.col("node").alias("name"), F.col("root").alias("entity"))
 
 
