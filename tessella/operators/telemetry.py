@@ -109,6 +109,14 @@ def review_flags(results: DataFrame, floor: float) -> DataFrame:
 
 
 def rate(events: DataFrame, key: str, time: str, seconds: int) -> DataFrame:
-    """`events` with the number of the key's events in the last `seconds`, this one included."""
-    last = Window.partitionBy(key).orderBy(F.unix_micros(F.col(time).cast("timestamp"))).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return events.withColumn("recent", F.count("*").over(last))
+    """`events` with the number of the key's events in the last `seconds`, this one included.
+
+    A key is cut into spans of that length, each of which also sees the rows of the span before it,
+    so a key with many events is the work of many tasks. A null time counts all rows without time.
+    """
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    span = F.floor(micros / (seconds * 1_000_000))
+    seen = events.withColumn("_at", micros).withColumn("_own", span).withColumn("_span", F.explode(F.when(span.isNull(), F.array(span)).otherwise(F.array(span, span + 1))))
+    last = Window.partitionBy(key, "_span").orderBy("_at").rangeBetween(-seconds * 1_000_000 + 1, 0)
+    counted = seen.withColumn("recent", F.count("*").over(last))
+    return counted.filter(F.col("_span").eqNullSafe(F.col("_own"))).drop("_at", "_own", "_span")

@@ -20,4 +20,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from tessella.plans import evaluation, graphs, reports, retrieval, routing, samples, texts, vectors  # noqa: E402, F401
+from tessella.plans import evaluation, graphs, reports, retrieval, routing, samples, stores, texts, vectors  # noqa: E402, F401
