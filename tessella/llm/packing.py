@@ -69,12 +69,17 @@ def pack_documents(
     piece in one container. A larger one is cut into pieces of `capacity` tokens, each filling a
     container, and a rest that is packed like a document. Null and negative sizes count as 0;
     documents of no tokens go to a container that is there anyway. Repeated rows are packed
-    as often as they stand. The result depends on ids and sizes only. No rows: no containers.
+    as often as they stand, and spread over shards like others, as are rows without an id. The result depends on ids and sizes only. No rows: no containers.
     """
     clean = sizes.select(
         F.col(id_col).alias("key"), F.greatest(F.coalesce(F.col(size_col), F.lit(0)), F.lit(0)).cast("long").alias("size")
     )
     total = clean.agg(F.sum("size")).first()[0] or 0
+    # Rows of one key and size are numbered in two steps, so that no row holds a long array.
+    copies = clean.groupBy("key", "size").agg(F.count("*").alias("copies"))
+    blocks = copies.withColumn("block", F.explode(F.sequence(F.lit(0), F.expr("(copies - 1) div 65536"))))
+    first = F.col("block") * 65_536
+    clean = blocks.withColumn("copy", F.explode(F.sequence(first, F.least(F.col("copies") - 1, first + 65_535)))).drop("copies", "block")
     shards = max(1, -(-total // (capacity * shard_containers)))
     pieces = F.greatest(F.lit(1), F.ceil(F.col("size") / capacity)).cast("int")
     items = (
@@ -82,9 +87,9 @@ def pack_documents(
         .withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
         .withColumn("first_token", F.col("piece_no").cast("long") * capacity)
         .withColumn("n_tokens", F.least(F.lit(capacity), F.col("size") - F.col("first_token")))
-        .withColumn("mark", F.xxhash64(F.col("key").cast("string"), "piece_no"))
+        .withColumn("mark", F.xxhash64(F.col("key").cast("string"), "piece_no", "copy", "size"))
         .withColumn("shard", F.pmod("mark", F.lit(shards)).cast("int"))
-        .drop("size")
+        .drop("size", "copy")
     )
     key_type = items.schema["key"].dataType.simpleString()
 

@@ -30,28 +30,38 @@ _WEAKER = [
 ]
 
 
+#: What ends a sentence or a line, and what may close after it.
+_STOPS = tuple(".!?…。！？｡।॥؟۔՞։።\n")
+_CLOSERS = "\"'”’»)]」』"
+#: Of `_WEAKER`, how many are stronger than a given end that may be out of place.
+_OVER_UNSURE = 2
+
+
 def _joins_left(ch: str) -> bool:
     """Whether `ch` belongs to the character before it (marks, joiners, selectors)."""
     return unicodedata.combining(ch) != 0 or ch == "‍" or "︀" <= ch <= "️" or unicodedata.category(ch) in ("Mn", "Me")
 
 
-def sentence_cuts(text: str, ends: list[int]) -> list[int]:
-    """Cut places after the given sentence ends, without those that can't be right.
+def sentence_cuts(text: str, ends: list[int]) -> tuple[list[int], list[int]]:
+    """Cut places after the given sentence ends: (sure, unsure), without those that can't be right.
 
     An end counts if it lies inside the text, follows no letter or digit that is continued
-    after it, and is not inside a white-space run that a later place already ends.
+    after it, and is not inside a white-space run that a later place already ends. It is sure
+    where the text before it ends a sentence or a line, unsure where it may be out of place.
     """
-    good = set()
+    sure, unsure = set(), set()
     for end in ends:
         if end is None or not 0 < end < len(text):
             continue
         if text[end - 1].isalnum() and text[end].isalnum():
             continue
+        stop = end
         while end < len(text) and text[end].isspace():
             end += 1
         if end < len(text):
-            good.add(end)
-    return sorted(good)
+            before = text[max(0, stop - 16) : stop].rstrip(" \t").rstrip(_CLOSERS)
+            (sure if before[-1:] in _STOPS or "\n" in text[stop:end] else unsure).add(end)
+    return sorted(sure), sorted(unsure - sure)
 
 
 def _nearest(places: list[int], low: int, high: int, middle: int) -> int | None:
@@ -64,12 +74,15 @@ def _nearest(places: list[int], low: int, high: int, middle: int) -> int | None:
 def piece_starts(text: str, ends: list[int], limit: int, overlap: int) -> list[int]:
     """Starts of the pieces of `text` before the overlap is attached; the first is 0."""
     most, least = limit - overlap, max(1, min(overlap, (limit - overlap) // 4))
-    ranks = [sentence_cuts(text, ends)]
+    sure, unsure = sentence_cuts(text, ends)
+    ranks, last = [sure], len(_WEAKER) + 1
     starts, todo = [0], [(0, len(text))]
 
     def weaker(rank: int) -> list[int]:
         while len(ranks) <= rank:
-            ranks.append([m.end() for m in _WEAKER[len(ranks) - 1].finditer(text)])
+            at = len(ranks) - 1
+            rule = _WEAKER[at - (at > _OVER_UNSURE)]
+            ranks.append(unsure if at == _OVER_UNSURE else [m.end() for m in rule.finditer(text)])
         return ranks[rank]
 
     while todo:
@@ -80,7 +93,7 @@ def piece_starts(text: str, ends: list[int], limit: int, overlap: int) -> list[i
         near = (end - start) // 4
         cut = _nearest(weaker(0), middle - near, middle + near, middle) or _nearest(weaker(0), low, high, middle)
         rank = 0
-        while cut is None and rank < len(_WEAKER):
+        while cut is None and rank < last:
             rank += 1
             cut = _nearest(weaker(rank), max(low, middle - near), min(high, middle + near), middle)
         if cut is None:
@@ -132,7 +145,7 @@ def split_documents(
     are the text. A text within the limit is one piece, an empty one a piece of no characters,
     a null one a piece of null with null offsets. Sentence ends that are null, out of range or
     inside a word are passed over; where a stretch has no usable one, paragraph ends, sentence
-    punctuation, line ends, clause marks, blanks and at last any character are taken. Repeated
+    punctuation, given ends without punctuation before them, line ends, clause marks, blanks and at last any character are taken. Repeated
     rows come out as often as they stand. Further columns are ignored.
     """
     if not 0 <= overlap < limit:

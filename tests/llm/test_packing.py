@@ -40,3 +40,12 @@ def test_every_document_once_unless_it_exceeds(spark):
     fill = P.containers(P.pack_documents(df, capacity=128)).collect()
     assert max(r.n_tokens for r in fill) <= 128
     assert P.pack_documents(df.limit(0)).count() == 0
+
+
+def test_rows_without_an_id_and_copies_are_spread_over_shards(spark):
+    rows = [(None, 7)] * 300 + [(1, 5)] * 200 + [(2, None)]
+    got = P.pack_documents(spark.createDataFrame(rows, "doc_id long, n_tokens int"), capacity=20, shard_containers=10)
+    assert got.count() == 501 and got.filter("doc_id is null").count() == 300
+    shards = [r["count"] for r in got.filter("doc_id is null").selectExpr("shiftright(container, 32) as s").groupBy("s").count().collect()]
+    assert len(shards) > 5
+    assert P.containers(got).filter("n_tokens > 20").count() == 0

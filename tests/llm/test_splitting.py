@@ -51,3 +51,11 @@ def test_null_empty_and_short_texts_are_one_piece(spark):
     assert got[2][0].piece == "" and got[2][0].end_offset == 0
     assert len(got[3]) == 2
     assert S.split_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_an_end_out_of_place_gives_way_to_punctuation():
+    text = "Aa bb cc. Dd ee ff gg. Hh (\"ii.\") Jj"
+    assert S.sentence_cuts(text, [9, 12, 33, None, 99, 4]) == ([10, 34], [13])
+    text = "word " * 11 + "end. " + "more " * 12
+    wrong = text.index("more more") + 4
+    assert S.piece_starts(text, [wrong], 100, 10)[1] == text.index("more")
