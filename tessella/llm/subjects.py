@@ -7,7 +7,8 @@ documents' topic proportions and the expected counts of words by topic inside ta
 the counts by word; the driver holds only the tables of words by topic, whose size is bounded by the
 vocabulary's shares. Topics get their area from their top terms: from the labels of the texts
 these stand in. A word that is nearly all of one area's topics is a term of the area. A sentence speaks of the area its terms weigh
-most for; a document is about the areas that a quarter of its speaking sentences speak of.
+most for. A document's areas come from its topic proportions: the areas whose topics hold a share of all its
+areas' topics. Those of them that a quarter of its speaking sentences speak of are kept.
 Sentences that stand literally in many texts, near copies apart, don't count in the topics. Such a
 sentence speaks of an area only if the texts it stands in are about that area by their other
 sentences; one that stands in texts of many areas is a set phrase or figure of speech.
@@ -46,6 +47,8 @@ INNER = 6
 ALPHA, BETA = 0.1, 0.05
 #: A term's share in its area among all areas, and the texts it has there at least.
 TERM_SHARE, TERM_TEXTS = 0.85, 2.0
+#: Share of an area's topics among all areas' topics in a document's topic proportions.
+LIKELY = 0.05
 #: Share of a document's speaking sentences.
 ABOUT = 0.24
 
@@ -296,20 +299,50 @@ def stock_areas(coded: DataFrame, told, stock: np.ndarray, langs: int, areas: in
     return allowed | owned(sums[:, :-1], sums[:, -1], base[lang])
 
 
-def expected_counts(docs: list[np.ndarray], phi: np.ndarray, alpha: np.ndarray) -> np.ndarray:
-    """Expected counts of words (rows) by topic over `docs`, each an array of its word ids."""
-    sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-    words, starts = np.concatenate(docs), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    p, doc = phi[words], np.repeat(np.arange(len(docs)), sizes)
-    theta = np.full((len(docs), phi.shape[1]), 1.0 / phi.shape[1], phi.dtype)
+def proportions(words: np.ndarray, doc: np.ndarray, phi: np.ndarray, alpha: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(theta, share): the topic proportions of each document, and the topics' shares in each of its words.
+
+    `words` are word ids, `doc` the document of each: 0, 1, ... in order, each with a word at least.
+    """
+    starts = np.flatnonzero(np.diff(doc, prepend=-1))
+    p = phi[words]
+    theta = np.full((len(starts), phi.shape[1]), 1.0 / phi.shape[1], phi.dtype)
+    share = p
     for _ in range(INNER):
         share = p * theta[doc]
         share /= share.sum(1, keepdims=True)
         theta = np.add.reduceat(share, starts, axis=0) + alpha
         theta /= theta.sum(1, keepdims=True)
+    return theta, share
+
+
+def expected_counts(docs: list[np.ndarray], phi: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    """Expected counts of words (rows) by topic over `docs`, each an array of its word ids."""
+    words, doc = np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    share = proportions(words, doc, phi, alpha)[1]
     return np.stack([np.bincount(words, share[:, k], len(phi)) for k in range(phi.shape[1])], axis=1)
 
 
+def likely_areas(codes: np.ndarray, rows: np.ndarray, lang: np.ndarray, phi: np.ndarray, areas_of: np.ndarray) -> np.ndarray:
+    """Whether each row's topic proportions hold each area: LIKELY of all that areas' topics hold.
+
+    `codes` as in `spoken`; `lang` is each row's model, `areas_of` (model, topic, area) is 1 where the topic is the area's.
+    """
+    out = np.zeros((len(lang), areas_of.shape[2]), bool)
+    alpha = np.full(phi.shape[1], ALPHA, phi.dtype)
+    for at in range(0, len(lang), 1000):
+        low, high = np.searchsorted(rows, [at, at + 1000])
+        some = codes[low:high] >= 0
+        pairs = np.unique(rows[low:high][some] * np.int64(len(phi)) + codes[low:high][some])
+        row, doc = np.unique(pairs // len(phi), return_inverse=True)
+        if len(row):
+            theta = proportions(pairs % len(phi), doc, phi, alpha)[0]
+            held = np.einsum("rk,rka->ra", theta, areas_of[lang[row]])
+            out[row] = held >= LIKELY * np.maximum(held.sum(1, keepdims=True), 1e-9)
+            out[row] &= held > 0
+    return out
+
+
 def _pass(shared, topics: int):
     """mapInArrow over texts: the expected counts of one task, a row for each word it has."""
 
@@ -331,6 +364,15 @@ def _pass(shared, topics: int):
     return run
 
 
+def word_shares(counts: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """The share of each word in each topic of its language."""
+    phi = counts + BETA
+    for lang in range(len(v.langs)):
+        mine = v.lang_of == lang
+        phi[mine] /= phi[mine].sum(0)
+    return phi.astype(np.float32)
+
+
 def fit_topics(texts: DataFrame, v: Vocabulary, seeds: np.ndarray, passes: int = PASSES) -> np.ndarray:
     """Expected counts of words by topic after `passes` over the distinct texts (ids)."""
     spark = texts.sparkSession
@@ -342,11 +384,7 @@ def fit_topics(texts: DataFrame, v: Vocabulary, seeds: np.ndarray, passes: int =
     alpha = np.full(topics, ALPHA, np.float32)
     schema = ", ".join(["id int", *(f"t{k} float" for k in range(topics))])
     for _ in range(passes):
-        phi = counts + BETA
-        for lang in range(len(v.langs)):
-            mine = v.lang_of == lang
-            phi[mine] /= phi[mine].sum(0)
-        shared = spark.sparkContext.broadcast((phi.astype(np.float32), alpha))
+        shared = spark.sparkContext.broadcast((word_shares(counts, v), alpha))
         sums = texts.mapInArrow(_pass(shared, topics), schema).groupBy("id").agg(*(F.sum(f"t{k}").alias(f"t{k}") for k in range(topics)))
         counts = np.zeros_like(counts)
         for row in sums.collect():  # at most one row for each word of the vocabulary
@@ -376,17 +414,21 @@ def topic_areas(counts: np.ndarray, seeds: np.ndarray, mine: np.ndarray, top: in
     return areas
 
 
-def area_counts(counts: np.ndarray, seeds: np.ndarray, v: Vocabulary) -> np.ndarray:
-    """Counts of words by area: those of the topics that are an area's, together."""
-    out = np.zeros_like(seeds)
+def areas_of_topics(counts: np.ndarray, seeds: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """(model, topic, area): 1 where the topic of the language is the area's, else 0."""
+    out = np.zeros((len(v.langs) + 1, counts.shape[1], seeds.shape[1]), np.float32)  # the last: no model
     for lang in range(len(v.langs)):
-        mine = v.lang_of == lang
-        for k, area in enumerate(topic_areas(counts, seeds, mine)):
+        for k, area in enumerate(topic_areas(counts, seeds, v.lang_of == lang)):
             if area >= 0:
-                out[mine, area] += counts[mine, k]
+                out[lang, k, area] = 1
     return out
 
 
+def area_counts(counts: np.ndarray, areas_of: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """Counts of words by area: those of the topics that are an area's, together."""
+    return np.einsum("wk,wka->wa", counts, areas_of[v.lang_of])
+
+
 def terms(counts: np.ndarray, areas: int) -> tuple[np.ndarray, np.ndarray]:
     """(area, weight) of each word: its area and share there, weight 0 if it is no term."""
     own = counts[:, :areas]
@@ -444,8 +486,12 @@ def _about(shared, areas: int):
 def _assigned(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            share = _shares(batch.column("codes"), shared.value, len(names))
-            row, k = np.nonzero(share)
+            *told, phi, areas_of = shared.value
+            codes = batch.column("codes")
+            share = _shares(codes, tuple(told), len(names))
+            rows = np.repeat(np.arange(len(codes)), np.diff(codes.offsets.to_numpy()))
+            likely = likely_areas(codes.flatten().to_numpy(), rows, batch.column("lang").to_numpy(), phi, areas_of)
+            row, k = np.nonzero(likely & (share > 0))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key").take(pa.array(row)), pa.array([names[i] for i in k], pa.string()), pa.array(share[row, k], pa.float64())],
                 names=["key", "subject", "share"],
@@ -493,10 +539,13 @@ def document_subjects(
         return slim.select(F.col("key").alias(id_col), F.lit("").alias("subject"), F.lit(0.0).alias("share")).limit(0)
     ids = F.filter(F.array_distinct("codes"), lambda c: c >= 0)
     texts = cut(plain.select("print", ids.alias("ids")).dropDuplicates(["print"]).filter(F.size("ids") > 0).select("ids"))
-    area, weight = terms(area_counts(fit_topics(texts, v, seeds), seeds, v), len(names))
+    counts = fit_topics(texts, v, seeds)
+    areas_of = areas_of_topics(counts, seeds, v)
+    area, weight = terms(area_counts(counts, areas_of, v), len(names))
     first = spark.sparkContext.broadcast((area, weight, np.repeat(~stock[:, None], len(names), axis=1)))
-    told = spark.sparkContext.broadcast((area, weight, stock_areas(coded, first, stock, len(v.langs), len(names))))
-    found = coded.select("key", "codes").mapInArrow(_assigned(told, names), f"key {key_type}, subject string, share double")
+    allowed = stock_areas(coded, first, stock, len(v.langs), len(names))
+    told = spark.sparkContext.broadcast((area, weight, allowed, word_shares(counts, v), areas_of))
+    found = coded.select("key", "lang", "codes").mapInArrow(_assigned(told, names), f"key {key_type}, subject string, share double")
     return found.dropDuplicates(["key", "subject"]).withColumnRenamed("key", id_col)
 
 
