@@ -79,6 +79,15 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(table(spark, d, "documents"))
 
 
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every document is in containers, none over the capacity, and these are 0.95 full or nearly all but one are."""
+    packed = p7_containers(spark, d)
+    per = packing.containers(packed).agg(F.max("n_tokens").alias("most"), F.sum("n_tokens").alias("all"), F.count("*").alias("n"))
+    docs = packed.agg(F.count_distinct("doc_id").alias("n_docs"))
+    full = F.col("all") >= 0.95 * packing.CAPACITY * (F.col("n") - 1)
+    return docs.crossJoin(per).select("n_docs", (F.col("most") <= packing.CAPACITY).alias("within"), full.alias("full"))  # a row each
+
+
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
     return subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
 
@@ -95,11 +104,13 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_pieces, p1_coverage, p2_sample, p3_found, p3_report, p4_percentiles, p4_daily, p4_within_bound, p5_found, p6_ids, p7_containers, p8_found, p8_composition)
+    for f in (p1_pieces, p1_coverage, p2_sample, p3_found, p3_report, p4_percentiles, p4_daily, p4_within_bound, p5_found, p6_ids, p7_containers, p7_fill, p8_found, p8_composition)
 }
 
 SQL: dict[str, str] = {}
 
+SQL["p7_fill"] = "SELECT count(DISTINCT doc_id) AS n_docs, TRUE AS within, TRUE AS full FROM documents"
+
 SQL["p1_coverage"] = """
 SELECT doc_id, TRUE AS covered, 0 AS over_limit FROM documents
 """
