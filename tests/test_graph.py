@@ -143,6 +143,30 @@ def test_alias_matches_are_those_of_brute_force(spark):
     assert got == want and ("Where was Robert Warren born?", "Robert Warrren") in got
 
 
+def test_alias_seeds_in_blocks_are_those_of_brute_force(spark, monkeypatch):
+    import random
+
+    from tessella.functions.text import word_similarity_of
+
+    monkeypatch.setattr(R, "ALIAS_BLOCK", 20, raising=False)
+    monkeypatch.setattr(R, "QUESTION_BLOCK", 20, raising=False)
+    draw = random.Random(3)
+    words = "The the of ab ananas banana warren warrren robert velm press presse İstanbul x".split()
+    pick = lambda n: " ".join(draw.choices(words, k=n))
+    names = {pick(draw.randint(1, 4)): draw.choice([0.3, 0.45, 0.7, 1.0, None]) for _ in range(40)} | {"": 1.0, "a\nb": 1.0}
+    asked = [(i, pick(draw.randint(0, 12))) for i in range(35)] + [(90, None), (91, "the " * 300 + "velm press")]
+    asked += [(i, asked[0][1]) for i in (92, 93)]
+    found = R.alias_seeds(spark.createDataFrame(list(names.items()), "alias string, confidence double"), spark.createDataFrame(asked, "id long, question string"), 0.45)
+    want = set()
+    for i, q in asked:
+        got = {a: c * word_similarity_of(a.lower(), q.lower()) for a, c in names.items() if c and q}
+        got = {a: s for a, s in got.items() if s >= 0.45}
+        want |= {(i, a, s) for a, s in got.items() if not any(len(b) > len(a) and a.lower() in b.lower() and got[b] >= s for b in got)}
+    rows = [tuple(r) for r in found.collect()]
+    assert set(rows) == want and len(rows) == len(want) and {i for i, _, _ in want} >= {91, 92, 93}
+    assert "gram" not in found._jdf.queryExecution().executedPlan().toString()  # no row for each trigram or pair
+
+
 def test_merge_rule_against_all_pairs(spark):
     long = "Bartholomew Featherstonehaugh"
     rows = [
