@@ -17,9 +17,10 @@ sentences; one that stands in texts of many areas is a set phrase or figure of s
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +53,35 @@ LIKELY = 0.05
 #: Share of a document's speaking sentences.
 ABOUT = 0.24
 
-_SENTENCE = re.compile(r"(?<=[.!?。;])\s+|\n+")
+#: Blanks after an end, or line ends; a blank comes first in the pattern, as this is looked for fastest.
+_SENTENCE = re.compile(r"\s(?:(?<=[.!?。;]\s)\s*|(?<=\n)\n*)")
 _WORD = re.compile(r"[^\W\d_]{3,}")
+#: Tokens that a task remembers, and their longest; others are read anew.
+TOKENS, TOKEN_LENGTH = 65536, 40
+#: Words and sentences of a language that a task counts before it passes the counts on.
+COUNTED = 100_000
+#: Words of the documents whose topic proportions are worked out together: what a core's cache holds.
+BLOCK_WORDS = 8000
+
+
+class Tokens(dict):
+    """The words of each token (what stands between blanks), or the `ids` of those that have one. Each is read once."""
+
+    def __init__(self, ids: dict[str, int] | None = None):
+        super().__init__()
+        self.ids = ids
+
+    def __missing__(self, token: str) -> tuple:
+        words = _WORD.findall(token)
+        found = tuple(words) if self.ids is None else tuple(self.ids[w] for w in words if w in self.ids)
+        if len(token) <= TOKEN_LENGTH:
+            if len(self) >= TOKENS:
+                self.clear()
+            self[token] = found
+        return found
+
+    def of(self, text: str) -> set:
+        return set(chain.from_iterable(map(self.__getitem__, text.split())))
 
 
 def sentences(text: str) -> list[str]:
@@ -71,18 +99,25 @@ def mark(sentence: str) -> str:
     return xxhash.xxh64_hexdigest(sentence)
 
 
-def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(print, lang, items): the different words, sentences (s:) and n: of each text."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, item, n): of a task's texts how many have each word, sentence (s:) and n:, an item more than once if it has many."""
+    tokens, counts = Tokens(), defaultdict(Counter)
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for lang, n in counts.items():
+            columns = [pa.repeat(lang, len(n)), pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "item", "n"])
+        counts.clear()
+
     for batch in batches:
-        texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-        items = []
-        for text in texts:
-            parts = sentences(text)
-            items.append([*set(_WORD.findall(" ".join(parts))), *{"s:" + mark(s) for s in parts if " " in s and len(s) < 200}, "n:"])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("print"), pa.array([language(x) for x in langs]), pa.array(items, pa.list_(pa.string()))],
-            names=["print", "lang", "items"],
-        )
+        for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
+            parts, n = sentences(text), counts[language(lang)]
+            n.update(tokens.of(" ".join(parts)))
+            n.update({"s:" + mark(s) for s in parts if " " in s and len(s) < 200})
+            n["n:"] += 1
+            if len(n) >= COUNTED:
+                yield from rows()
+    yield from rows()
 
 
 @dataclass
@@ -161,11 +196,9 @@ def telling_words(slim: DataFrame, labels: DataFrame, names: list[str], frequent
 
 def vocabulary(slim: DataFrame, frequent: float, labels: DataFrame, names: list[str]) -> Vocabulary:
     """Words, frequent words and set phrases by language, counted once for each distinct text."""
-    items = slim.select("print", "text", "lang").mapInArrow(_items, "print long, lang string, items array<string>")
-    counts = (
-        items.dropDuplicates(["print"]).select("lang", F.explode("items").alias("item"))
-        .groupBy("lang", "item").agg(F.count("*").alias("n")).filter("n >= 4 or item = 'n:'")
-    )
+    texts = slim.select("print", "text", "lang").dropDuplicates(["print"]).select("text", "lang")
+    counts = texts.mapInArrow(_counted, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    counts = counts.filter("n >= 4 or item = 'n:'")
     counts = cut(counts)
     sizes = {r.lang: r.n for r in counts.filter("item = 'n:'").collect()}  # one row for each language
     total = sum(sizes.values())
@@ -193,6 +226,28 @@ def vocabulary(slim: DataFrame, frequent: float, labels: DataFrame, names: list[
     return v
 
 
+def distinct(numbers: np.ndarray) -> np.ndarray:
+    """The different ones of numbers from 0, in order, by sorting: `np.unique` may hash and then takes 30 times as long."""
+    some = np.sort(numbers)
+    return some[np.diff(some, prepend=-1) != 0]
+
+
+def code_lists(ids: np.ndarray, ends: np.ndarray, marks: np.ndarray, sizes: np.ndarray, words: int) -> pa.ListArray:
+    """The codes of each text: of each sentence with ids these once, in order, then -1, or -2 - mark where it has one.
+
+    `ids` (under `words`) are those of all texts' sentences, `ends` where each sentence's stop, `marks` -1 for none, and
+    `sizes` the sentences of each text.
+    """
+    sentence = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    sentence, ids = np.divmod(distinct(sentence * np.int64(words) + ids), max(words, 1))
+    last = np.flatnonzero(np.diff(sentence, append=-1))
+    ended = sentence[last]
+    codes = np.insert(ids, last + 1, np.where(marks[ended] >= 0, -2 - marks[ended], -1))
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    n = np.bincount(of[sentence], minlength=len(sizes)) + np.bincount(of[ended], minlength=len(sizes))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(codes, pa.int32()))
+
+
 def _coded(shared):
     """mapInArrow: (key, print, lang, codes, stock, mostly), lang that of the model.
 
@@ -202,26 +257,26 @@ def _coded(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = shared.value
+        tokens = {model: Tokens(ids) for model, ids in {"": {}, **v.ids}.items()}
         for batch in batches:
-            out, models, stocks, mostly = [], [], [], []
+            found, ends, all_marks, sizes, models, stocks, mostly = [], [], [], [], [], [], []
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                lang, codes = language(lang), []
-                whole = sentences(text)
+                lang, whole = language(lang), sentences(text)
                 marks = [v.stock.get(mark(s), -1) for s in whole]
-                parts = [_WORD.findall(s) for s in whole]
-                model = v.model_of(lang, [w for p, m in zip(parts, marks) if m < 0 for w in p] if lang not in v.ids else []) or ""
-                ids = v.ids.get(model, {})
-                for words, m in zip(parts, marks):
-                    found = {ids[w] for w in words if w in ids}
-                    if found:
-                        codes += [*sorted(found), -2 - m if m >= 0 else -1]
-                out.append(codes)
+                model = v.model_of(lang, [w for s, m in zip(whole, marks) if m < 0 for w in _WORD.findall(s)] if lang not in v.ids else []) or ""
+                ids = tokens[model].__getitem__
+                for s in whole:
+                    found.extend(chain.from_iterable(map(ids, s.split())))
+                    ends.append(len(found))
+                all_marks += marks
+                sizes.append(len(whole))
                 models.append(v.langs.index(model) if model else -1)
                 stocks.append(sorted({m for m in marks if m >= 0}))
                 mostly.append(2 * sum(m >= 0 for m in marks) >= sum(" " in s for s in whole))
+            codes = code_lists(*(np.array(x, np.int64) for x in (found, ends, all_marks, sizes)), len(v.counts))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("key"), batch.column("print"), pa.array(models, pa.int32()), pa.array(out, pa.list_(pa.int32())),
+                    batch.column("key"), batch.column("print"), pa.array(models, pa.int32()), codes,
                     pa.array(stocks, pa.list_(pa.int32())), pa.array(mostly, pa.bool_()),
                 ],
                 names=["key", "print", "lang", "codes", "stock", "mostly"],
@@ -305,15 +360,22 @@ def proportions(words: np.ndarray, doc: np.ndarray, phi: np.ndarray, alpha: np.n
     `words` are word ids, `doc` the document of each: 0, 1, ... in order, each with a word at least.
     """
     starts = np.flatnonzero(np.diff(doc, prepend=-1))
-    p = phi[words]
-    theta = np.full((len(starts), phi.shape[1]), 1.0 / phi.shape[1], phi.dtype)
-    share = p
-    for _ in range(INNER):
-        share = p * theta[doc]
-        share /= share.sum(1, keepdims=True)
-        theta = np.add.reduceat(share, starts, axis=0) + alpha
-        theta /= theta.sum(1, keepdims=True)
-    return theta, share
+    lengths = np.diff(starts, append=len(doc))
+    theta, shares = np.empty((len(starts), phi.shape[1]), phi.dtype), np.empty((phi.shape[1], len(words)), phi.dtype)
+    blocks = np.flatnonzero(np.diff(starts // BLOCK_WORDS, prepend=-1))
+    for first, after in zip(blocks, [*blocks[1:], len(starts)]):
+        low, n = starts[first], lengths[first:after]
+        at = starts[first:after] - low
+        p = phi[words[low : low + n.sum()]].T.copy()  # a row for each topic
+        own = np.full((len(p), len(n)), 1.0 / len(p), phi.dtype)
+        share = p
+        for _ in range(INNER):
+            share = p * np.repeat(own, n, axis=1)
+            share /= share.sum(0)
+            own = np.add.reduceat(share, at, axis=1) + alpha[:, None]
+            own /= own.sum(0)
+        theta[first:after], shares[:, low : low + n.sum()] = own.T, share
+    return theta, shares.T
 
 
 def expected_counts(docs: list[np.ndarray], phi: np.ndarray, alpha: np.ndarray) -> np.ndarray:
@@ -333,10 +395,11 @@ def likely_areas(codes: np.ndarray, rows: np.ndarray, lang: np.ndarray, phi: np.
     for at in range(0, len(lang), 1000):
         low, high = np.searchsorted(rows, [at, at + 1000])
         some = codes[low:high] >= 0
-        pairs = np.unique(rows[low:high][some] * np.int64(len(phi)) + codes[low:high][some])
-        row, doc = np.unique(pairs // len(phi), return_inverse=True)
+        doc, words = np.divmod(distinct(rows[low:high][some] * np.int64(len(phi)) + codes[low:high][some]), len(phi))
+        new = np.diff(doc, prepend=-1) != 0
+        row = doc[new]
         if len(row):
-            theta = proportions(pairs % len(phi), doc, phi, alpha)[0]
+            theta = proportions(words, np.cumsum(new) - 1, phi, alpha)[0]
             held = np.einsum("rk,rka->ra", theta, areas_of[lang[row]])
             out[row] = held >= LIKELY * np.maximum(held.sum(1, keepdims=True), 1e-9)
             out[row] &= held > 0

@@ -110,3 +110,69 @@ def test_terms_of_a_large_area_and_stop_words_of_another_language(spark):
         found.setdefault(r.doc_id, set()).add(r.subject)
     assert found.get(6000) == {"sport"}
     assert all(found.get(5000 + i, set()) == ({"law"} if i % 2 else set()) for i in range(80))
+
+
+def test_tokens_are_read_once(monkeypatch):
+    read, plain = [], S._WORD
+
+    class Counting:
+        def findall(self, text):
+            read.append(text)
+            return plain.findall(text)
+
+    monkeypatch.setattr(S, "_WORD", Counting())
+    tokens, ids = S.Tokens(), S.Tokens({"known": 3, "well": 5})
+    for _ in range(3):
+        assert tokens.of("Well-known l'été, a1b2cde x²³¹ 日本語 " + "long" * 20) == {"Well", "known", "été", "cde", "日本語", "long" * 20, "x²³¹"}
+        assert ids.of("well-known, (known) other") == {3, 5}
+    assert len(read) - read.count("long" * 20) == 5 + 3
+
+
+def test_sentences_end_as_their_rule_says():
+    rng = random.Random(2)
+    rule = S.re.compile(r"(?<=[.!?。;])\s+|\n+")
+    for _ in range(5000):
+        text = "".join(rng.choice("ab.!;。? \n\t\r-") for _ in range(rng.randrange(14)))
+        assert S.sentences(text) == [s.strip(" \t-*=#>") for s in rule.split(text)]
+
+
+def test_codes_of_texts_are_sorted_once_and_ended():
+    texts = [[([4, 2, 4], -1), ([], 7), ([9], 0)], [], [([], -1)], [([1], 2), ([1], -1)]]
+    sentences = [s for t in texts for s in t]
+    arrays = [[i for ids, _ in sentences for i in ids], np.cumsum([len(ids) for ids, _ in sentences]), [m for _, m in sentences], [len(t) for t in texts]]
+    got = S.code_lists(*(np.array(x, np.int64) for x in arrays), 10)
+    assert got.to_pylist() == [[2, 4, -1, 9, -2], [], [], [1, -4, 1, -1]]
+    none = np.zeros(0, np.int64)
+    assert S.code_lists(none, np.zeros(2, np.int64), np.array([-1, 3]), np.array([2, 0]), 0).to_pylist() == [[], []]
+
+
+def test_proportions_in_blocks_are_those_of_each_document(monkeypatch):
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 50, n) for n in (3, 30, 1, 8, 40, 2, 2, 9)]
+    phi, alpha = rng.random((50, 5)).astype(np.float32), np.full(5, 0.1, np.float32)
+    monkeypatch.setattr(S, "BLOCK_WORDS", 10)
+    theta, share = S.proportions(np.concatenate(docs), np.repeat(np.arange(8), [len(d) for d in docs]), phi, alpha)
+    for i, d in enumerate(docs):
+        want = np.full(5, 0.2)
+        for _ in range(S.INNER):
+            mine = phi[d] * want / (phi[d] * want).sum(1, keepdims=True)
+            want = (mine.sum(0) + alpha) / (mine.sum(0) + alpha).sum()
+        at = sum(map(len, docs[:i]))
+        assert np.allclose(theta[i], want, atol=1e-5) and np.allclose(share[at : at + len(d)], mine, atol=1e-5)
+
+
+def test_counts_passed_on_in_parts_are_the_whole(monkeypatch):
+    docs, _ = _corpus(40)
+    batch = S.pa.table({"text": [d[1] for d in docs], "lang": [d[2] for d in docs]}).to_batches()
+    want: dict = {}
+    for _, text, lang, _ in docs:
+        parts = S.sentences(text)
+        for item in {*S._WORD.findall(text.lower()), *("s:" + S.mark(s) for s in parts if " " in s), "n:"}:
+            want[lang[:2].lower(), item] = want.get((lang[:2].lower(), item), 0) + 1
+    for limit in (S.COUNTED, 50):
+        monkeypatch.setattr(S, "COUNTED", limit)
+        got: dict = {}
+        parts = list(S._counted(iter(batch)))
+        for row in (r for p in parts for r in p.to_pylist()):
+            got[row["lang"], row["item"]] = got.get((row["lang"], row["item"]), 0) + row["n"]
+        assert got == want and (len(parts) > 1) == (limit == 50)
