@@ -169,7 +169,8 @@ def percentiles(sketches: DataFrame, keys: list[str], quantiles: tuple[float, ..
         return pd.DataFrame({**{k: [rows[k].iloc[0]] * len(quantiles) for k in keys}, "n": n, "max_rank_error": error, "quantile": quantiles, "value": values[order][at]})
 
     schema = ", ".join(f"{k} {t}" for k, t in types.items()) + ", n long, max_rank_error long, quantile double, value double"
-    return sketches.filter(F.size("vals") > 0).groupBy(*keys).applyInPandas(run, schema)
+    # A sketch's error stands in the row of its raw values, which is empty where all of them fill buffers.
+    return sketches.filter((F.size("vals") > 0) | (F.col("error") > 0)).groupBy(*keys).applyInPandas(run, schema)
 
 
 def clean_route(route: Column) -> Column:

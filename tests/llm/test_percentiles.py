@@ -40,6 +40,17 @@ def test_days_combine_to_the_whole(spark):
     assert {r.route for r in got} == {"r0", "r1", "r2", None}
 
 
+def test_bound_of_values_that_all_fill_buffers(spark):
+    values = np.random.default_rng(5).permutation(64 * 16).astype(float)
+    df = spark.createDataFrame([("a", float(v)) for v in values] + [("b", 1.0)], "route string, v double").repartition(4)
+    sketches = P.merge_sketches(P.sketch_values(df, ["route"], "v", 64), ["route"], 4, 64)
+    error = {r.route: r.error for r in sketches.groupBy("route").agg({"error": "sum"}).toDF("route", "error").collect()}
+    got = P.percentiles(sketches, ["route"]).collect()
+    assert error["a"] > 0 and {(r.route, r.n, r.max_rank_error) for r in got} == {("a", 1024, error["a"]), ("b", 1, 0)}
+    # The value v has the rank v + 1.
+    assert all(abs(r.value + 1 - np.ceil(r.quantile * r.n)) <= r.max_rank_error for r in got if r.route == "a")
+
+
 def test_no_usable_values(spark):
     schema = "run_id string, question_id string, route_taken string, latency_ms int, recorded_at timestamp, route string"
     rows = [("a", "q", "x", None, None, "z"), ("a", "q", "x", -1, None, "z"), ("a", "q", None, P.SENTINEL, None, None)]
