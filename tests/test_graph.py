@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.operators import graph as G
@@ -167,6 +168,31 @@ def test_alias_seeds_in_blocks_are_those_of_brute_force(spark, monkeypatch):
     assert "gram" not in found._jdf.queryExecution().executedPlan().toString()  # no row for each trigram or pair
 
 
+def test_alias_seeds_shuffle_no_match_and_split_a_hot_question(spark, monkeypatch):
+    monkeypatch.setattr(R, "IDS", 3, raising=False)
+    names = spark.createDataFrame([("Robert Warren", 1.0), ("Warren", 0.9), ("Velm", 0.8)], "alias string, confidence double")
+    asked = [(i, "Did Robert Warren stay?") for i in range(8)] + [(8, "Did Velm?"), (0, "Did Velm?")]
+    found = R.alias_seeds(names, spark.createDataFrame(asked, "id long, question string"), 0.45)
+    want = {(i, "Robert Warren", 1.0) for i in range(8)} | {(8, "Velm", 0.8), (0, "Velm", 0.8)}
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(want) and {(i, a, round(x, 6)) for i, a, x in rows} == want
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "Join" not in plan and "Exchange" not in plan.split("InArrow")[0]  # matches leave their task for the result only
+    meeting = plan.split("InArrow")[1].split("Union")[0]
+    assert meeting.count("Exchange") == 1 and "REPARTITION_BY_NUM" in meeting  # a task for each meeting, none put together
+
+
+def test_names_inside_longer_ones_by_index_and_by_search():
+    from tessella.functions.runs import Inside, outermost
+
+    names = ["a", "ana", "banana", "ananas", "an", "banana", "x", "", "na b"]
+    sizes, scores = [len(x) for x in names], [0.5, 0.9, 0.6, 0.7, 0.4, 0.8, 1.0, 1.0, 0.3]
+    for some in ([0, 1, 2, 3, 4, 5, 6, 8], [1, 2, 3], [0, 4, 6]):
+        kept = Inside(names, sizes).outermost(np.zeros(len(some), dtype=np.int64), np.array(some), np.array([scores[i] for i in some]))
+        want = outermost(*([x[i] for i in some] for x in (names, sizes, scores)))
+        assert np.flatnonzero(kept).tolist() == sorted(want)
+
+
 def test_merge_rule_against_all_pairs(spark):
     long = "Bartholomew Featherstonehaugh"
     rows = [
